@@ -5,12 +5,12 @@ protected entity *c*. Over the corpus, a term *t* that stands near *c* discloses
 
     PMI(c; t) = log2(N * n(c, t) / (n(c) * n(t)))      of at most      IC(c) = log2(N / n(c)),
 
-n counting distinct texts. A term whose PMI reaches ``threshold`` of IC(c), seen in at least ``min_support``
+n counting documents. A term whose PMI reaches ``threshold`` of IC(c), seen in at least ``min_support``
 different surroundings of c, is marked wherever it occurs; from ``remove_at`` on it is removed, below that it
 is generalised to a placeholder. Everything is DataFrame expressions.
 
-Defined cases: a null text counts as empty; repeated rows and copies count as one text for the statistics and
-each get their own result row; an empty table gives an empty result; columns other than doc_id and text are not
+Defined cases: a null text counts as empty; repeated rows and copies each count and each get their own result row (a
+term's support counts different surroundings, so copies alone don't give it); an empty table gives an empty result; columns other than doc_id and text are not
 looked at; a text without findings has an empty span list. Ties in the span order go by kind, in KINDS' order,
 terms last. A term span that overlaps a pattern span is left out.
 """
@@ -123,42 +123,47 @@ def _window(text: Column, s: Column) -> Column:
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD, remove_at: float = REMOVE_AT) -> tuple[DataFrame, DataFrame]:
-    """(term, ratio, action) of the terms beyond the threshold, and where candidate terms occur by text_key.
-
-    ``found`` is find()'s table. Pairs come from windows of fixed width, so their number is linear in the spans."""
-    near = found.where(F.size("base") > 0).select("text_key", F.explode("around").alias("a")).select("text_key", "a.entity", "a.ctx", "a.terms")
-    n_entity = near.groupBy("entity").agg(F.count_distinct("text_key").alias("n_entity"))
-    pairs = near.select("entity", "ctx", "text_key", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count_distinct("ctx").alias("support"), F.count_distinct("text_key").alias("n_both"))
-    pairs = keep(pairs.where((F.col("support") >= min_support) & (F.col("n_both") >= min_support)).join(n_entity, "entity"), "pairs")
-    terms, small = broadcast_if_small(pairs.select("term").distinct())
+    """(term, ratio, action) of the terms beyond the threshold, and the spans of these terms by text_key.
+
+    ``found`` is find()'s table. Pairs come from windows of fixed width, so their number is linear in the spans.
+    Of the terms near an entity only the counts are taken over the corpus; places are looked up for those that
+    pass, which are rare words by the threshold itself."""
+    rows = found.where(F.size("base") > 0)
+    entities = F.array_distinct(F.transform("around", lambda a: a["entity"]))
+    n_entity = rows.select(F.explode(entities).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    near = rows.select(F.monotonically_increasing_id().alias("row"), F.explode("around").alias("a")).select("row", "a.entity", "a.ctx", F.explode("a.terms").alias("term"))
+    pairs = near.groupBy("entity", "term").agg(F.count_distinct("ctx").alias("support"), F.count_distinct("row").alias("n_both")).where(F.col("support") >= min_support)
+    pairs = keep(pairs.join(n_entity, "entity"), "pairs")
+    words = F.array_distinct(F.split(ascii_lower("text"), r"[^\p{L}]+"))
     text = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    split_words = F.array_distinct(F.split(ascii_lower("text"), r"[^\p{L}]+"))
+    terms, _ = broadcast_if_small(pairs.select("term").distinct())
+    n_term = text.select(F.explode(words).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    n = float(found.count())
+    ic = F.log2(F.lit(n) / F.col("n_entity"))
+    pmi = F.log2(F.lit(n) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
+    scored = pairs.join(n_term, "term").where(F.col("n_entity") < n).select("term", (pmi / ic).alias("ratio")).groupBy("term").agg(F.max("ratio").alias("ratio"))
+    action = F.when(F.col("ratio") >= remove_at, F.lit("remove")).otherwise(F.lit("generalise"))
+    flagged = keep(scored.where(F.col("ratio") >= threshold).withColumn("action", action), "flagged")
+    side, small = broadcast_if_small(flagged.select("term", "action"))
+    key = F.md5(F.col("text").cast("binary")).alias("text_key")
     if small:  # the words meet the terms where they are made; a text is touched again only on a hit
-        at = text.select("text", F.explode(split_words).alias("term")).join(terms, "term").select(F.md5(F.col("text").cast("binary")).alias("text_key"), "term", "text")
+        at = text.select("text", F.explode(words).alias("term")).join(side, "term").select(key, "term", "action", "text")
     else:
-        keyed = text.select(F.md5(F.col("text").cast("binary")).alias("text_key"), "text")
-        hit = keyed.select("text_key", F.explode(split_words).alias("term")).join(terms, "term").groupBy("text_key").agg(F.collect_set("term").alias("terms"))
-        at = keyed.join(hit, "text_key").select("text_key", F.explode("terms").alias("term"), "text")
+        hit = text.select(key, F.explode(words).alias("term")).join(side, "term").groupBy("text_key").agg(F.collect_set(F.struct("term", "action")).alias("terms"))
+        at = text.select(key, "text").join(hit, "text_key").select("text_key", F.explode("terms").alias("t"), "text").select("text_key", "t.*", "text")
     pattern = F.concat(F.lit(r"(?<!\p{L})"), F.col("term"), F.lit(r"(?!\p{L})"))
     at = at.withColumn("low", ascii_lower("text"))
     at = at.withColumn("hits", F.regexp_extract_all("low", pattern, F.lit(0)))
-    at = keep(at.select("text_key", "term", located(F.col("low"), pattern, F.col("hits"), F.lit("term"), len(KINDS)).alias("spans")), "terms")
-    n_term = at.groupBy("term").agg(F.count_distinct("text_key").alias("n_term"))
-    n = found.select("text_key").distinct().agg(F.count("*").alias("n")).first()["n"]
-    ic = F.log2(F.lit(float(n)) / F.col("n_entity"))
-    pmi = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    scored = pairs.join(n_term, "term").where(F.col("n_entity") < n).select("term", (pmi / ic).alias("ratio")).groupBy("term").agg(F.max("ratio").alias("ratio"))
-    flagged = scored.where(F.col("ratio") >= threshold).withColumn("action", F.when(F.col("ratio") >= remove_at, F.lit("remove")).otherwise(F.lit("generalise")))
-    return flagged, at
+    at = at.withColumn("s", located(F.col("low"), pattern, F.col("hits"), F.lit("term"), len(KINDS)))
+    return flagged, at.select("text_key", F.transform("s", lambda s: s.withField("value", F.col("action"))).alias("s"))
 
 
 def spans(docs: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD, remove_at: float = REMOVE_AT) -> DataFrame:
     """doc_id, text_key, base and terms: the two span lists of each row; kind is "term" for every term span and
     ``value`` holds the term's action there."""
     found = keep(find(docs), "found")
-    flagged, at = disclosing_terms(docs, found, min_support, threshold, remove_at)
-    marked = at.join(flagged, "term").select("text_key", F.transform("spans", lambda s: s.withField("value", F.col("action"))).alias("s"))
-    by_text = marked.groupBy("text_key").agg(F.flatten(F.collect_set("s")).alias("terms"))
+    _, at = disclosing_terms(docs, found, min_support, threshold, remove_at)
+    by_text = at.groupBy("text_key").agg(F.flatten(F.collect_set("s")).alias("terms"))
     by_text = keep(by_text, "marked")
     out = found.select("doc_id", "text_key", "base").join(by_text, "text_key", "left")
     apart = F.filter(F.coalesce("terms", _empty()), lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (t["end"] > b["start"])))
