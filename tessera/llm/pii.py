@@ -133,15 +133,18 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, min_support: int = MIN_S
     n_entity = rows.select(F.explode(entities).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     near = rows.select(F.monotonically_increasing_id().alias("row"), F.explode("around").alias("a")).select("row", "a.entity", "a.ctx", F.explode("a.terms").alias("term"))
     pairs = near.groupBy("entity", "term").agg(F.count_distinct("ctx").alias("support"), F.count_distinct("row").alias("n_both")).where(F.col("support") >= min_support)
-    pairs = keep(pairs.join(n_entity, "entity"), "pairs")
+    n = float(found.count())
+    ratio = lambda n_term: F.log2(F.lit(n) * F.col("n_both") / (F.col("n_entity") * F.col(n_term))) / F.log2(F.lit(n) / F.col("n_entity"))
+    # a term stands in at least as many documents as it stands near an entity in; with that the ratio is largest,
+    # so common words go before the corpus is read for counts
+    n_near = near.groupBy("term").agg(F.count_distinct("row").alias("n_near"))
+    pairs = pairs.join(n_entity.where(F.col("n_entity") < n), "entity").join(n_near, "term").where(ratio("n_near") >= threshold)
+    pairs = keep(pairs, "pairs")
     words = F.array_distinct(F.split(ascii_lower("text"), r"[^\p{L}]+"))
     text = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
     terms, _ = broadcast_if_small(pairs.select("term").distinct())
     n_term = text.select(F.explode(words).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    n = float(found.count())
-    ic = F.log2(F.lit(n) / F.col("n_entity"))
-    pmi = F.log2(F.lit(n) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    scored = pairs.join(n_term, "term").where(F.col("n_entity") < n).select("term", (pmi / ic).alias("ratio")).groupBy("term").agg(F.max("ratio").alias("ratio"))
+    scored = pairs.join(n_term, "term").select("term", ratio("n_term").alias("ratio")).groupBy("term").agg(F.max("ratio").alias("ratio"))
     action = F.when(F.col("ratio") >= remove_at, F.lit("remove")).otherwise(F.lit("generalise"))
     flagged = keep(scored.where(F.col("ratio") >= threshold).withColumn("action", action), "flagged")
     side, small = broadcast_if_small(flagged.select("term", "action"))
