@@ -64,7 +64,7 @@ def words(c: Column) -> Column:
 
 def doc_hash_mod(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo ``n``; a null id counts as the empty text."""
-    return F.pmod(F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None)).cast("string").cast("binary")), F.lit(n))
+    return F.pmod(F.crc32(F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:

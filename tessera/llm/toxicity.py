@@ -1,14 +1,15 @@
-"""Toxicity by class-conditional Kneser-Ney bigram models.
+"""Toxicity by class-conditional Kneser-Ney models.
 
-For each class c (toxic, ordinary) over the labelled documents,
+A text is taken as its distinct words and a word as the string of its bytes with an end mark. For each class c
+(toxic, ordinary), n_c(p) counts (document, word) pairs whose word begins with p, and
 
-    P_c(w | h) = max(n_c(h w) - D, 0) / n_c(h) + D * N1+_c(h .) / n_c(h) * P_c(w)
-    P_c(w)     = max(n_c(w) - D, 0) / n_c + D * N1+_c / n_c * S(w)
+    P_c(p | q) = max(n_c(p) - D, 0) / n_c(q) + sum over children r of q of min(n_c(r), D) / n_c(q) * S(p | q)
 
-with S the Kneser-Ney continuation distribution of both classes together (a word's share of distinct left
-neighbours, mixed with a uniform floor), so that expressions rare in either class take the same, shared value
-and cancel. The two log-likelihoods of a text are compared after normalising for its length, and a logistic map
-of the normalised difference, fitted on labelled documents scored by models that didn't see them, gives 0 to 1.
+for a prefix p and its parent q, where S(p | q) = T(p) / T(q) is the shared back-off of both classes: T counts
+distinct words, as Kneser-Ney continuation counts do. A word's log-likelihood is the sum along its prefixes. A
+rare form takes its value from the stem that it shares with others, and where neither class has evidence both
+take the shared value and cancel. The difference of the two log-likelihoods of a text is normalised for its
+length, and a logistic map of it, fitted on documents scored by models that didn't see them, gives 0 to 1.
 
 The model is fitted on at most ``MAX_TOXIC`` toxic and ``MAX_ORDINARY`` ordinary labelled documents, those of
 lowest hash (a bounded sample, see the parameters); every text is scored whole.
@@ -21,6 +22,7 @@ empty result; columns other than doc_id and text are passed through or not looke
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,82 +36,115 @@ from tessera.llm.common import doc_hash_mod
 
 MAX_TOXIC = 4_000
 MAX_ORDINARY = 8_000
-DISCOUNT = 0.75
-FLOOR = 0.05
+#: Discounts tried; the one that predicts held-out folds best is used.
+DISCOUNTS = (0.75, 2.0, 4.0)
+DEPTH = 12
 REJECT = 0.3
 HELD_OUT, FOLDS = 2, 4
+PARTS = 3
+END = b"\n"
 
 
 @dataclass
 class Model:
-    vocab: dict[bytes, int]
-    #: Per word: the back-off part as a history, and the unigram log-ratio as a word. Index 0 is any other word.
-    history: np.ndarray
-    word: np.ndarray
-    pairs: np.ndarray  # sorted history * |vocab| + word
-    pair_ratio: np.ndarray
+    #: The difference of the classes' log-likelihoods down to a prefix, where it changes.
+    prefixes: dict[bytes, float]
     coef: np.ndarray
 
 
-def tokens(text: str) -> list[bytes]:
-    """White-space words, A-Z lowered, without punctuation at either end."""
-    return [w.strip(b".,;:!?\"'()[]{}*#&$%|<>-_=+~`^@/\\") for w in text.encode().lower().split()]
-
-
-def _count(docs: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unigram counts, and the distinct bigrams with their counts."""
-    uni = np.zeros(size, np.int64)
-    pairs = []
-    for ids in docs:
-        np.add.at(uni, ids, 1)
-        if len(ids) > 1:
-            pairs.append(ids[:-1].astype(np.int64) * size + ids[1:])
-    keys, n = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return uni, keys, n
-
-
-def _fit(toxic: list[np.ndarray], ordinary: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    counts = [_count(toxic, size), _count(ordinary, size)]
-    shared = np.union1d(counts[0][1], counts[1][1])
-    left = np.bincount(shared % size, minlength=size)  # distinct left neighbours
-    s = (1 - FLOOR) * left / max(left.sum(), 1) + FLOOR / size
-    uni_p, lam, bi_p = [], [], []
-    for uni, keys, n in counts:
-        total = max(uni.sum(), 1)
-        p = np.maximum(uni - DISCOUNT, 0) / total + (DISCOUNT * (uni > 0).sum() / total if uni.sum() else 1.0) * s
-        ctx = np.bincount(keys // size, weights=n, minlength=size)
-        kinds = np.bincount(keys // size, minlength=size)
-        back = np.where(ctx > 0, DISCOUNT * kinds / np.maximum(ctx, 1), 1.0)
-        at = np.searchsorted(keys, shared)
-        hit = (at < len(keys)) & (keys[np.minimum(at, max(len(keys) - 1, 0))] == shared) if len(keys) else np.zeros(len(shared), bool)
-        c = np.zeros(len(shared))
-        c[hit] = n[at[hit]]
-        h, w = shared // size, shared % size
-        bi_p.append(np.maximum(c - DISCOUNT, 0) / np.maximum(ctx[h], 1) + back[h] * p[w])
-        uni_p.append(p)
-        lam.append(back)
-    return (np.log(lam[0] / lam[1]).astype(np.float32), np.log(uni_p[0] / uni_p[1]).astype(np.float32), shared, np.log(bi_p[0] / bi_p[1]).astype(np.float32))
-
-
-def _difference(ids: np.ndarray, history: np.ndarray, word: np.ndarray, pairs: np.ndarray, ratio: np.ndarray) -> float:
-    """Log-likelihood of the toxic model less that of the ordinary one."""
-    if not len(ids):
-        return 0.0
-    out = float(word[ids[0]])
-    if len(ids) > 1:
-        each = history[ids[:-1]] + word[ids[1:]]
-        if len(pairs):
-            key = ids[:-1].astype(np.int64) * len(word) + ids[1:]
-            at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-            each = np.where(pairs[at] == key, ratio[at], each)
-        out += float(each.sum(dtype=np.float64))
+def words(text: str) -> set[bytes]:
+    """Distinct white-space words, A-Z lowered, without punctuation at either end, with the end mark."""
+    return {w.strip(b".,;:!?\"'()[]{}*#&$%|<>-_=+~`^@/\\") + END for w in text.encode().lower().split()} - {END}
+
+
+class Tree:
+    """The prefixes of a list of words, level by level."""
+
+    def __init__(self, vocab: list[bytes]) -> None:
+        table = np.array(vocab, f"S{DEPTH}")
+        chars = table.view("S1").reshape(len(table), DEPTH)
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # keys, parents, the words' nodes
+        node = np.zeros(len(table), np.int64)
+        for depth in range(1, DEPTH + 1):
+            alive = np.flatnonzero(node >= 0)
+            alive = alive[chars[alive, depth - 1] != b""]
+            if not len(alive):
+                break
+            keys, first, inverse = np.unique(table[alive].astype(f"S{depth}"), return_index=True, return_inverse=True)
+            parents = node[alive[first]]
+            node = np.full(len(table), -1, np.int64)
+            node[alive] = inverse
+            self.levels.append((keys, parents, node))
+        self.types = len(vocab)
+
+    def ratios(self, n: np.ndarray, discount: float) -> list[np.ndarray]:
+        """Level by level, the accumulated log-ratio of each node, for counts n (words x 2 classes)."""
+        up_n, up_t, up = n.sum(axis=0, keepdims=True).astype(float), np.array([float(self.types)]), np.zeros(1)
+        out = []
+        for keys, parents, node in self.levels:
+            held = node >= 0
+            own = np.stack([np.bincount(node[held], weights=n[held, c], minlength=len(keys)) for c in (0, 1)], axis=1)
+            t = np.bincount(node[held], minlength=len(keys)).astype(float)
+            s = t / up_t[parents]
+            logs = []
+            for c in (0, 1):
+                base = up_n[:, c]
+                left = np.bincount(parents, weights=np.minimum(own[:, c], discount), minlength=len(base))
+                # what ends in the parent has no child, so the mass is that of the children
+                total = np.bincount(parents, weights=own[:, c], minlength=len(base))
+                safe = np.maximum(total, 1e-9)[parents]
+                p = np.where(total[parents] > 0, np.maximum(own[:, c] - discount, 0) / safe + (left[parents] / safe) * s, s)
+                logs.append(np.log(p))
+            up = up[parents] + logs[1] - logs[0]
+            out.append(up)
+            up_n, up_t = own, t
+        return out
+
+    def of_words(self, ratios: list[np.ndarray]) -> np.ndarray:
+        """Each word's value: that of its deepest node."""
+        out = np.zeros(self.types)
+        for (_, _, node), r in zip(self.levels, ratios, strict=True):
+            held = node >= 0
+            out[held] = r[node[held]]
+        return out
+
+    def changes(self, ratios: list[np.ndarray], least: float = 0.02) -> dict[bytes, float]:
+        """The prefixes at which the value moves away from the last kept prefix above by ``least``."""
+        kept, above = {}, np.zeros(1)
+        for (keys, parents, _), r in zip(self.levels, ratios, strict=True):
+            last = above[parents]
+            moved = np.abs(r - last) > least
+            kept.update(zip(keys[moved].tolist(), r[moved].tolist(), strict=True))
+            above = np.where(moved, r, last)
+        return kept
+
+
+def _value(word: bytes, prefixes: dict[bytes, float]) -> float:
+    out = 0.0
+    for i in range(1, min(len(word), DEPTH) + 1):
+        out = prefixes.get(word[:i], out)
     return out
 
 
-def _features(diff: float, n: int) -> tuple[float, float, float, float]:
-    """The difference by length and by its root (the scale of its noise), bounded, and the length itself."""
-    n = max(n, 1)
-    return 1.0, diff / n, float(np.clip(diff / np.sqrt(n), -6, 6)), float(np.clip(diff, -30, 30)) / 10
+class _Values(dict):
+    """Values of words; forgets all when it has grown large."""
+
+    def __init__(self, prefixes: dict[bytes, float]) -> None:
+        self.prefixes = prefixes
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) > 300_000:
+            self.clear()
+        v = self[word] = _value(word, self.prefixes)
+        return v
+
+
+def _features(values: np.ndarray) -> tuple[float, float, float, float]:
+    """The difference by length and by its root (the scale of its noise), and the mass of strong evidence by
+    the same root, each bounded."""
+    n = max(len(values), 1)
+    total, strong = float(values.sum()), float(values[values > 2].sum())
+    return 1.0, float(np.clip(total / n, -3, 3)), float(np.clip(total / np.sqrt(n), -6, 6)), float(np.clip(strong / np.sqrt(n) * 4, 0, 8))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -125,66 +160,73 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> Model | None:
-    """Fit on a sample of the labelled rows whose id's remainder isn't HELD_OUT. None without both classes."""
-    known = labels.where(F.col("toxic").isin(0, 1) & (doc_hash_mod("doc_id", FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("y2")).where("y = y2").select("doc_id", "y")
+def _sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_ordinary: int) -> tuple[DataFrame, int, int]:
+    known = labels.where(F.col("toxic").isin(0, 1) & (doc_hash_mod("doc_id", FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("y2")).where("y = y2").select("doc_id", F.col("y").cast("int").alias("y"))
     order = F.xxhash64("doc_id")
     ones, zeros = known.where("y = 1"), known.where("y = 0")
-    n1, n0 = ones.count(), zeros.count()
+    picked = ones.orderBy(order, "doc_id").limit(max_toxic).unionByName(zeros.orderBy(order, "doc_id").limit(max_ordinary))
+    # at most max_toxic + max_ordinary ids go out
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    return rows, ones.count(), zeros.count()
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> Model | None:
+    """Fit on a sample of the labelled rows whose id's remainder isn't HELD_OUT. None without both classes."""
+    rows, n1, n0 = _sample(docs, labels, max_toxic, max_ordinary)
     if not n1 or not n0:
         return None
-    picked = ones.orderBy(order, "doc_id").limit(max_toxic).unionByName(zeros.orderBy(order, "doc_id").limit(max_ordinary))
-    picked = F.broadcast(picked)  # at most max_toxic + max_ordinary ids
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id")
+    data = sorted(((r[0], r[1], bytes(r[2])) for r in rows.mapInArrow(_tokenised, "doc_id bigint, y int, words binary").toLocalIterator()))
     vocab: dict[bytes, int] = {}
-    data: list[tuple[int, int, np.ndarray]] = []
-    for doc_id, y, words in rows.mapInArrow(_tokenised, "doc_id bigint, y int, words binary").toLocalIterator():
-        ids = np.fromiter((vocab.setdefault(w, len(vocab) + 1) for w in bytes(words).split(b"\n")) if words else (), np.int32)
-        data.append((doc_id, y, ids))
-    data.sort(key=lambda x: (x[0], x[2].tobytes()))
-    size = len(vocab) + 1
+    ids = [np.fromiter((vocab.setdefault(w + END, len(vocab)) for w in joined.split(END)) if joined else (), np.int64) for _, _, joined in data]
     y = np.array([x[1] for x in data])
-    fold = np.arange(len(data)) % 3
-    x = np.zeros((len(data), 4))
-    for k in range(3):
-        part = _fit([d[2] for d, f in zip(data, fold, strict=True) if f != k and d[1]], [d[2] for d, f in zip(data, fold, strict=True) if f != k and not d[1]], size)
-        seen = np.zeros(size, bool)
-        for d, f in zip(data, fold, strict=True):
-            if f != k:
-                seen[d[2]] = True
-        for i in np.flatnonzero(fold == k):
-            ids = np.where(seen[data[i][2]], data[i][2], 0)
-            x[i] = _features(_difference(ids, *part), len(ids))
+    if not vocab or y.min(initial=1) == y.max(initial=0):
+        return None
+    # a text and its copies fall into one fold
+    fold = np.array([zlib.crc32(x[2]) % PARTS for x in data])
+    counts = np.zeros((PARTS, len(vocab), 2))
+    for i, k, label in zip(ids, fold, y, strict=True):
+        counts[k, i, label] += 1
+    tree = Tree(list(vocab))
     weight = np.where(y == 1, n1 / max(y.sum(), 1), n0 / max((1 - y).sum(), 1)) / (n1 + n0) * len(y)
-    coef = _logistic(x, y, weight)
-    history, word, pairs, ratio = _fit([d[2] for d in data if d[1]], [d[2] for d in data if not d[1]], size)
-    # pairs whose value is the back-off value anyway needn't be kept
-    h, w = pairs // size, pairs % size
-    away = np.abs(ratio - history[h] - word[w]) > 1e-3
-    return Model(vocab, history, word, pairs[away], ratio[away], coef)
+    best = None
+    for discount in DISCOUNTS:
+        x = np.zeros((len(data), 4))
+        for k in range(PARTS):
+            value = tree.of_words(tree.ratios(counts.sum(axis=0) - counts[k], discount))
+            for i in np.flatnonzero(fold == k):
+                x[i] = _features(value[ids[i]])
+        coef = _logistic(x, y, weight)
+        p = np.clip(1 / (1 + np.exp(-np.clip(x @ coef, -30, 30))), 1e-9, 1 - 1e-9)
+        loss = float(-(weight * np.where(y == 1, np.log(p), np.log(1 - p))).sum())
+        if best is None or loss < best[0]:
+            best = loss, discount, coef
+    ratios = tree.ratios(counts.sum(axis=0), best[1])
+    return Model(tree.changes(ratios), best[2])
 
 
 def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         doc, text, y = (b.column(b.schema.get_field_index(c)) for c in ("doc_id", "text", "y"))
-        words = [b"\n".join(w for w in tokens(t) if w) for t in text.to_pylist()]
-        yield pa.RecordBatch.from_arrays([doc.cast(pa.int64()), y.cast(pa.int32()), pa.array(words, pa.binary())], names=["doc_id", "y", "words"])
+        joined = [b"".join(sorted(words(t)))[:-1] for t in text.to_pylist()]
+        yield pa.RecordBatch.from_arrays([doc, y, pa.array(joined, pa.binary())], names=["doc_id", "y", "words"])
 
 
 def _scorer(model):
     """A pandas UDF over texts, for a broadcast model (bounded by the training sample)."""
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m: Model = model.value
-        get = m.vocab.get
-        out = np.empty(len(texts))
-        for i, t in enumerate(texts):
-            words = [w for w in tokens(t) if w]
-            ids = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
-            z = float(np.dot(m.coef, _features(_difference(ids, m.history, m.word, m.pairs, m.pair_ratio), len(ids))))
-            out[i] = 1 / (1 + np.exp(-max(-30.0, min(30.0, z))))
-        return pd.Series(out)
+        value = _Values(m.prefixes)
+        for texts in batches:
+            out = np.empty(len(texts))
+            for i, t in enumerate(texts):
+                distinct = words(t)
+                # sorted, so that the sum is the same wherever the text is scored
+                v = np.sort(np.fromiter(map(value.__getitem__, distinct), np.float64, len(distinct)))
+                z = float(np.dot(m.coef, _features(v)))
+                out[i] = 1 / (1 + np.exp(-max(-30.0, min(30.0, z))))
+            yield pd.Series(out)
 
     return score
 
