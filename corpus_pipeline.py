@@ -1,13 +1,48 @@
-"""The corpus pipeline: its stages in order, each a function (spark, docs, sf_dir) -> DataFrame."""
+"""The corpus pipeline: its stages in order, each a function (spark, docs, sf_dir) -> DataFrame.
+
+Toxic documents go, repeated lines go, one document of each near-duplicate group stays, documents that hold
+benchmark items go, and the rest is mixed to the sources' weights. All stages but the last return the columns of
+``documents``; the last returns what the mix takes of each remaining document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import decontamination, line_dedup, mixing, near_dedup, toxicity
 from tessera.llm.common import keep, read
 
-STAGES: list = []
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The model is fitted on the labelled documents of its input."""
+    return toxicity.accepted(docs, read(spark, sf_dir, "labels"))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.kept_documents(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.clean_documents(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", drop_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+]
+
+#: The toxicity model and the template windows have no SQL form; the tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -116,7 +116,6 @@ def _decide(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.Rec
     yield from s.taken()
 
 
-@F.pandas_udf("struct<n_dropped:bigint,kept:binary>")
 def _bitmap(n_lines: pd.Series, pos: pd.Series) -> pd.DataFrame:
     out = []
     for n, parts in zip(n_lines, pos, strict=True):
@@ -127,7 +126,6 @@ def _bitmap(n_lines: pd.Series, pos: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["n_dropped", "kept"])
 
 
-@F.pandas_udf("string")
 def _kept_text(text: pd.Series, kept: pd.Series) -> pd.Series:
     out = []
     for t, k in zip(text, kept, strict=True):
@@ -158,7 +156,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     settled = open_rows.join(F.broadcast(verdicts.where(F.col("all_docs") >= min_docs)), ["k1", "k2"]).where(F.col("doc") < F.col("largest"))
     dropped = decided.where("kind = 0").select("doc", "th", "n_lines", "pos").unionByName(settled.select("doc", "th", "n_lines", "pos"))
     by_doc = dropped.groupBy("doc", "th").agg(F.first("n_lines").alias("n_lines"), F.collect_list("pos").alias("pos"))
-    return by_doc.select("doc", "th", "n_lines", _bitmap("n_lines", "pos").alias("b")).select("doc", "th", "n_lines", "b.n_dropped", "b.kept")
+    return by_doc.select("doc", "th", "n_lines", F.pandas_udf(_bitmap, "struct<n_dropped:bigint,kept:binary>")("n_lines", "pos").alias("b")).select("doc", "th", "n_lines", "b.n_dropped", "b.kept")
 
 
 def _with_bitmaps(keyed: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -175,14 +173,14 @@ def deduplicated(docs: DataFrame, **params) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = whole.select("whole", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("th"))
     j = _with_bitmaps(keyed, bitmaps)
-    j = j.withColumn("new", _kept_text(F.when(F.col("kept").isNotNull(), F.col("whole.text")), F.col("kept")))
+    j = j.withColumn("new", F.pandas_udf(_kept_text, "string")(F.when(F.col("kept").isNotNull(), F.col("whole.text")), F.col("kept")))
     return j.select(*[F.when(F.col("kept").isNull(), F.col("whole.text")).otherwise(F.col("new")).alias(c) if c == "text" else F.col("whole").getField(c).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, **params) -> DataFrame:
     """doc_id, n_lines (before dropping), n_dropped and kept_sha256 of every row."""
     j = _with_bitmaps(_keyed(docs), keep_bitmaps(docs, **params))
-    j = j.withColumn("new", _kept_text(F.when(F.col("kept").isNotNull(), F.col("text")), F.col("kept")))
+    j = j.withColumn("new", F.pandas_udf(_kept_text, "string")(F.when(F.col("kept").isNotNull(), F.col("text")), F.col("kept")))
     return j.select(
         F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"),
         F.size(F.split("text", "\n", -1)).cast("bigint").alias("n_lines"),

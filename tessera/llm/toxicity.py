@@ -39,6 +39,8 @@ MAX_ORDINARY = 8_000
 #: Discounts tried; the one that predicts held-out folds best is used.
 DISCOUNTS = (0.75, 2.0, 4.0)
 DEPTH = 12
+#: Log-ratio from which a word counts as strong evidence.
+STRONG = 5.0
 REJECT = 0.3
 HELD_OUT, FOLDS = 2, 4
 PARTS = 3
@@ -143,7 +145,7 @@ def _features(values: np.ndarray) -> tuple[float, float, float, float]:
     """The difference by length and by its root (the scale of its noise), and the mass of strong evidence by
     the same root, each bounded."""
     n = max(len(values), 1)
-    total, strong = float(values.sum()), float(values[values > 2].sum())
+    total, strong = float(values.sum()), float(values[values > STRONG].sum())
     return 1.0, float(np.clip(total / n, -3, 3)), float(np.clip(total / np.sqrt(n), -6, 6)), float(np.clip(strong / np.sqrt(n) * 4, 0, 8))
 
 
