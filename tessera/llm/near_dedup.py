@@ -10,9 +10,9 @@ for independent hashes.
 2. Bands of ``ROWS`` coordinates put classes into buckets. A bucket is streamed in the order of its classes;
    each class is proposed against the few leaders its sketch resembles, or becomes a leader.
 3. Proposals are confirmed on the full sets, and components follow from the confirmed links.
-4. Buckets that still hold several components are streamed again, and every resembling pair across components
-   that wasn't proposed before is proposed: so no link is lost behind a leader. Links of step 4 are confirmed
-   and the components are joined anew.
+4. Buckets that still hold several components are streamed again, and every pair across components that
+   resembles in the sketch and in a longer one of ``LONG_BINS`` coordinates, and wasn't proposed before, is
+   proposed: so no link is lost behind a leader. Links of step 4 are confirmed and the components joined anew.
 
 A pair at the limit of 0.85 misses all bands with a probability of 4e-7, and falls below ``ALIKE`` of agreeing
 coordinates with one below 1e-6.
@@ -40,9 +40,13 @@ SHINGLE = 5
 PERCENT = 85
 BANDS, ROWS = 25, 5
 BINS = BANDS * ROWS
-#: Share of agreeing coordinates from which a pair is proposed: 0.85 less 6 standard deviations.
-ALIKE = 0.65
+#: Share of agreeing coordinates from which a pair is proposed: 0.85 less 4.7 standard deviations.
+ALIKE = 0.70
 LEADERS = 64
+#: Coordinates of the longer sketch that step 4 compares, a byte each, and the share of them from which a pair is
+#: proposed: 0.85 less 5 standard deviations.
+LONG_BINS = 2000
+ALIKE_LONG = 0.81
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -146,29 +150,42 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (band, fp, short, comp) sorted by band: all resembling pairs across components, each row
+    """From rows (band, fp, short, comp, number, long) sorted by band: all resembling pairs across components, each row
     compared with the bucket's earlier rows of other components."""
     band, fps, codes, n = None, [], {}, 0
-    comps, shorts = np.zeros(64, np.int64), np.zeros((64, BINS), np.uint16)
+    comps, shorts, longs = np.zeros(64, np.int64), np.zeros((64, BINS), np.uint16), np.zeros((64, LONG_BINS), np.uint8)
     for b in batches:
         left, right = [], []
-        for k, fp, short, comp in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+        for k, fp, short, comp, number, long in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
             if k != band:
                 band, fps, codes, n = k, [], {}, 0
             if n == len(comps):
-                comps, shorts = np.resize(comps, 2 * n), np.concatenate([shorts, np.zeros_like(shorts)])
-            s, code = np.frombuffer(short, "<u2"), codes.setdefault(comp, len(codes))
+                comps, shorts, longs = np.resize(comps, 2 * n), np.concatenate([shorts, np.zeros_like(shorts)]), np.concatenate([longs, np.zeros_like(longs)])
+            s, t, code = np.frombuffer(short, "<u2"), np.frombuffer(long, np.uint8), codes.setdefault(comp, len(codes))
             other = np.flatnonzero(comps[:n] != code)
             for at in range(0, len(other), 4096):
                 block = other[at : at + 4096]
-                for i in block[(shorts[block] == s).mean(axis=1) >= ALIKE]:
+                same = shorts[block] == s
+                block, same = block[(m := same.mean(axis=1) >= ALIKE)], same[m]
+                # a pair is proposed in the first band that it shares only
+                first = same.reshape(len(block), BANDS, ROWS).all(axis=2).argmax(axis=1)
+                block = block[first == number]
+                for i in block[(longs[block] == t).mean(axis=1) >= ALIKE_LONG]:
                     left.append(min(fps[i], fp)), right.append(max(fps[i], fp))
-            comps[n], shorts[n] = code, s
+            comps[n], shorts[n], longs[n] = code, s, t
             fps.append(fp)
             n += 1
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
 
+def _long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (fp, text): the longer sketch."""
+    words = _Words()
+    for b in batches:
+        long = [(_mix(sketch(shingles(t, words), LONG_BINS)) >> np.uint64(56)).astype(np.uint8).tobytes() for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(long, pa.binary())], names=["fp", "long"])
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, b, text of a, text of b): the pairs whose full sets are similar enough."""
     words = _Words()
@@ -185,14 +202,18 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
 
-def confirm(pairs: DataFrame, sketched: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are links. Only texts of classes in a pair are moved: one text a class."""
-    involved = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    # one text of each class: the smallest hash among its rows
+def texts_of(involved: DataFrame, sketched: DataFrame, docs: DataFrame) -> DataFrame:
+    """One text of each class of ``involved`` (fp); texts of other classes aren't moved."""
     sample = keep(sketched.where(F.col("fp").isNotNull()).join(involved, "fp", "left_semi").groupBy("fp").agg(F.min("th").alias("th")), "involved")
     side, _ = broadcast_if_small(sample)
     text = F.coalesce(F.col("text"), F.lit(""))
-    texts = keep(docs.select(F.xxhash64(text).alias("th"), text.alias("text")).join(side, "th").groupBy("fp").agg(F.max("text").alias("text")), "texts")
+    return docs.select(F.xxhash64(text).alias("th"), text.alias("text")).join(side, "th").groupBy("fp").agg(F.max("text").alias("text"))
+
+
+def confirm(pairs: DataFrame, sketched: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that are links."""
+    involved = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    texts = keep(texts_of(involved, sketched, docs), "texts")
     return (
         pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a")
         .join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
@@ -229,17 +250,19 @@ def classes(docs: DataFrame) -> DataFrame:
     sketched = keep(sketched.select("id.doc_id", "id.th", "n_shingles", "fp", "bands", "short"), "sketched")
     # a set's bands follow from it, so any row of the class serves
     one = keep(sketched.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min(F.struct("bands", "short")).alias("s")).select("fp", "s.*"), "classes")
-    buckets = one.select(F.explode("bands").alias("band"), "fp", "short")
+    buckets = one.select(F.posexplode("bands").alias("number", "band"), "fp", "short")
     shared = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     buckets = keep(buckets.join(shared, "band"), "buckets")
     ordered = buckets.repartitionByRange("band").sortWithinPartitions("band", "fp")
     tried = keep(ordered.select("band", "fp", "short").mapInArrow(_propose, "a binary, b binary").distinct(), "tried")
     links = keep(confirm(tried, sketched, docs), "links")
     labels = components(links)
-    labelled = buckets.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("band", "fp", "short", F.coalesce("comp", "fp").alias("comp"))
+    labelled = buckets.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("band", "fp", "short", F.coalesce("comp", "fp").alias("comp"), "number")
     mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    again = labelled.join(mixed, "band").repartitionByRange("band").sortWithinPartitions("band", "fp")
-    more = again.select("band", "fp", "short", "comp").mapInArrow(_across, "a binary, b binary").distinct()
+    again = keep(labelled.join(mixed, "band"), "again")
+    long = texts_of(again.select("fp").distinct(), sketched, docs).mapInArrow(_long, "fp binary, long binary")
+    again = again.join(long, "fp").repartitionByRange("band").sortWithinPartitions("band", "fp")
+    more = again.select("band", "fp", "short", "comp", "number", "long").mapInArrow(_across, "a binary, b binary")
     more = keep(more.join(tried, ["a", "b"], "left_anti"), "more")
     more_links = keep(confirm(more, sketched, docs), "more-links")
     if more_links.limit(1).count():
