@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import doc_hash_mod, keep
 
 HELD_OUT, FOLDS = 1, 5
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 END = np.uint64(0x9AE16A3B2F90404F)
 START = np.uint64(0xC3A5C85C97CB3127)
 BUCKETS = 24
@@ -48,7 +48,7 @@ ANSWER = "block bigint, part int, kind int, counts binary, n_tokens bigint, n_ty
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -129,13 +129,20 @@ class Block:
         yield 2, self.keys[self.pair_order], n[self.pair_order]
 
 
+def _rows(b: pa.RecordBatch, names: tuple[str, ...]) -> Iterator[list]:
+    """One row after the other, as each is large."""
+    cols = [b.column(b.schema.get_field_index(n)) for n in names]
+    for i in range(b.num_rows):
+        yield [c[i].as_py() for c in cols]
+
+
 def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
 
 
 def _requests(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for block, train, lens, vocab, toks in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+        for block, train, lens, vocab, toks in _rows(b, ("block", "train", "lens", "vocab", "toks")):
             rows = []
             for kind, keys, n in Block(train, lens, vocab, toks).sets():
                 cuts = np.searchsorted(_part_of(keys, parts), np.arange(parts + 1))
@@ -202,7 +209,7 @@ def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _resolved(b: pa.RecordBatch, n_train_docs: int) -> Iterator[tuple[list, Resolved]]:
-    for ids, train, lens, vocab, toks, answers in zip(*(b.column(c).to_pylist() for c in ("doc_ids", "train", "lens", "vocab", "toks", "answers")), strict=True):
+    for ids, train, lens, vocab, toks, answers in _rows(b, ("doc_ids", "train", "lens", "vocab", "toks", "answers")):
         yield ids, Resolved(train, lens, vocab, toks, answers, n_train_docs)
 
 
