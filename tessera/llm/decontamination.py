@@ -32,7 +32,7 @@ NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"
 PUNCTUATION = ".,;:!?\"()[]{}*#&$%|<>=_~`"
 #: Units that count as such after a number.
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|miles|ft|feet|in|inches|yards|l|ml|litres|liters|gallons|s|sec|seconds|min|minutes|h|hr|hours|days|weeks|months|years|mph|kmh|percent|dollars|euros|pounds|cents|degrees"
-NAMED = r"(?<=[\p{L}\p{N},;] )\p{Lu}[\p{L}'’-]*+"
+NAMED = r" (?<=[\p{L}\p{N},;] )\p{Lu}[\p{L}'’-]*+"
 NUMBERED = r"[0-9]++(?:[.,:/][0-9]++)*+"
 WITH_UNIT = f"{NUMBER}( ?)(?:{UNITS})(?![\\p{{L}}\\p{{N}}])"
 
@@ -43,18 +43,30 @@ def _tokens(c: Column) -> Column:
 
 
 def _canonical(text: Column) -> Column:
-    marked = F.regexp_replace(F.regexp_replace(text, NAMED, NAME), NUMBERED, NUMBER)
+    marked = F.regexp_replace(F.regexp_replace(text, NAMED, f" {NAME}"), NUMBERED, NUMBER)
     return F.lower(F.regexp_replace(marked, WITH_UNIT, f"{NUMBER}$1{UNIT}"))
 
 
 def windows(table: DataFrame, *keys: str) -> DataFrame:
-    """keys, i (place) and h (hash) of every window, with the token list and the text it comes from."""
-    t = table.select(*keys, F.coalesce("text", F.lit("")).alias("text"))
+    """keys, i (place) and h (hash) of every window. The hashes are made as one array a row, so that neither text nor
+    tokens are carried along with each window."""
+
+    def hashed(form: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(form) - WINDOW), lambda i: F.xxhash64(*[F.get(form, i + j) for j in range(WINDOW)]))
+
+    # the tokens stand in a one-element array, so that the lambda sees them made once and not once a window
+    form = F.array(_tokens(_canonical(F.coalesce("text", F.lit("")))))
+    hashes = F.get(F.transform(form, lambda f: F.when(F.size(f) >= WINDOW, hashed(f))), F.lit(0))
+    return table.select(*keys, F.posexplode(hashes).alias("i", "h"))
+
+
+def slotted_windows(table: DataFrame, *keys: str) -> DataFrame:
+    """windows() with slots, the placeholders of each; for few rows."""
     # placeholders replace characters within tokens only, so both token lists run alongside
-    t = t.select(*keys, _tokens(_canonical(F.col("text"))).alias("form"), F.col("text"))
-    w = t.select(*keys, "form", "text", F.explode(F.sequence(F.lit(0), F.greatest(F.size("form") - WINDOW, F.lit(0)))).alias("i")).where(F.size("form") >= WINDOW)
-    at = [F.get("form", F.col("i") + j) for j in range(WINDOW)]
-    return w.select(*keys, "i", F.xxhash64(*at).alias("h"), "form", "text")
+    form = F.explode(F.array(_tokens(_canonical(F.coalesce("text", F.lit(""))))))
+    t = table.select(*keys, F.coalesce("text", F.lit("")).alias("text"), form.alias("form")).where(F.size("form") >= WINDOW)
+    t = t.select(*keys, "form", "text", F.explode(F.sequence(F.lit(0), F.size("form") - WINDOW)).alias("i"))
+    return t.select(*keys, "i", F.xxhash64(*[F.get("form", F.col("i") + j) for j in range(WINDOW)]).alias("h"), _slots(F.col("form"), F.col("text"), F.col("i")).alias("slots"))
 
 
 def _slots(form: Column, text: Column, i: Column) -> Column:
@@ -69,20 +81,19 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     b = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).where(F.col("item_id").isNotNull())
     b = b.withColumn("template", F.array_join(_tokens(_canonical(F.col("text"))), " ")).where(F.col("template").isNotNull())
     first = b.groupBy("template").agg(F.min(F.struct("item_id", "text")).alias("x"), F.array_sort(F.collect_set("item_id")).alias("items")).select("x.item_id", "x.text", "items")
-    w = windows(first, "item_id", "items")
-    w = w.select("item_id", "items", "i", "h", _slots(F.col("form"), F.col("text"), F.col("i")).alias("slots"))
+    w = slotted_windows(first, "item_id", "items")
     return w.where(WINDOW - F.size("slots") >= LITERALS)
 
 
 def found(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, consistency: float = CONSISTENCY) -> DataFrame:
     """doc_id, th (hash of the text), item_id, items, n_matched, n_windows, coverage and consistency of the items
-    found. The documents' windows are hashed and met with the benchmark's where they are made."""
+    found. The documents' windows are hashed and met with the benchmark's where they are made,
+    and only those that are in it go on."""
     items = keep(item_windows(benchmark), "items")
     known, _ = broadcast_if_small(items.select("h").distinct(), BROADCAST_WINDOWS)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64(text).alias("th"))
-    hits = windows(rows, "doc_id", "th").join(known, "h")
-    hits = keep(hits.select("doc_id", "th", "h", "i", _slots(F.col("form"), F.col("text"), F.col("i")).alias("slots")), "hits")
+    hits = windows(rows, "doc_id", "th").join(known, "h").select("doc_id", "th", "h")
     sizes = items.groupBy("item_id").agg(F.count_distinct("h").alias("n_windows"), F.first("items").alias("items"))
     of_item = items.select("item_id", "h").distinct()
     # one row for each window of a document, whatever its repeats; an item's share of them by partial sums
@@ -93,9 +104,11 @@ def found(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     cover = keep(cover, "cover")
     slotted = items.where(F.size("slots") > 0).select("item_id", "h", F.col("i").alias("at"), F.col("slots").alias("own"))
     slotted, _ = broadcast_if_small(slotted, BROADCAST_WINDOWS)
-    pairs = hits.where(F.size("slots") > 0).join(slotted, "h")
-    same = (F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))) & (F.col("d.th") == F.col("c.th")) & (F.col("d.item_id") == F.col("c.item_id"))
-    pairs = pairs.alias("d").join(cover.select("doc_id", "th", "item_id").alias("c"), same, "left_semi")
+    # slots are looked up in the texts of candidates only, once for each text
+    texts, _ = broadcast_if_small(cover.select("th").distinct())
+    there = rows.join(texts, "th").groupBy("th").agg(F.max("text").alias("text"))
+    pairs = slotted_windows(there, "th").where(F.size("slots") > 0).join(slotted, "h")
+    pairs = pairs.join(cover.select("doc_id", "th", "item_id"), ["th", "item_id"])
     pairs = pairs.select("doc_id", "th", "item_id", (F.col("i") - F.col("at")).alias("shift"), F.explode(F.zip_with("own", "slots", lambda o, d: F.struct(o["kind"].alias("kind"), o["value"].alias("a"), d["value"].alias("b")))).alias("p"))
     pairs = pairs.select("doc_id", "th", "item_id", "shift", F.col("p.kind").alias("kind"), F.col("p.a").alias("a"), F.col("p.b").alias("b"))
     n = pairs.groupBy("doc_id", "th", "item_id", "shift", "kind", "a", "b").agg(F.count("*").alias("n"))
