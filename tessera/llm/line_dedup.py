@@ -30,10 +30,6 @@ from tessera.llm.common import SPACE_CHARS, keep
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-#: Bitmaps are broadcast to the texts below these bounds, else joined by a shuffle.
-BROADCAST_DOCS = 50_000
-BROADCAST_BYTES = 4_000_000
-
 NO_ID = -(2**63)
 ROW = "k1 bigint, k2 bigint, doc bigint, th bigint, n_lines int, pos binary"
 DECISION = f"kind int, {ROW}, n_docs bigint"
@@ -160,10 +156,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
 
 def _with_bitmaps(keyed: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    bitmaps = keep(bitmaps.select("doc", "th", "n_dropped", "kept"), "bitmaps")
-    n = bitmaps.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("kept")), F.lit(0)).alias("b")).first()
-    small = n["n"] <= BROADCAST_DOCS and n["b"] <= BROADCAST_BYTES
-    return keyed.join(F.broadcast(bitmaps) if small else bitmaps.hint("merge"), ["doc", "th"], "left")
+    """Texts and bitmaps meet by a sort-merge join at every size, as the bitmaps grow with the texts."""
+    return keyed.join(bitmaps.select("doc", "th", "n_dropped", "kept").hint("merge"), ["doc", "th"], "left")
 
 
 def deduplicated(docs: DataFrame, **params) -> DataFrame:
