@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.llm.common import keep
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that goes with the vocabulary files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -57,7 +59,8 @@ def histogram(lengths: DataFrame) -> DataFrame:
     """From a column n_tokens, a row for each length: n_docs and n_tokens at it; docs_from and tokens_from, the
     suffix sums from it on; share_within, the documents no longer than it; truncated_tokens, what is left of the
     corpus with this length as the limit."""
-    h = lengths.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs"))
+    # kept, as it is read twice below and the texts should be encoded once
+    h = keep(lengths.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs")), "lengths")
     h = h.withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("slice", F.floor(F.col("length") / SLICE))
     # slices of lengths are summed first, so that only a row a slice meets in one task
     after = W.orderBy(F.desc("slice")).rowsBetween(W.unboundedPreceding, -1)
