@@ -181,11 +181,11 @@ def judge_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT source, quality::DOUBLE AS a, (n_chars % 5)::DOUBLE AS b FROM documents JOIN labels USING (doc_id)),
 r AS (SELECT source, a, b, rank() OVER (PARTITION BY source ORDER BY a) + (count(*) OVER (PARTITION BY source, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY source ORDER BY b) + (count(*) OVER (PARTITION BY source, b) - 1) / 2 AS rb FROM p)
-SELECT source, CASE WHEN count(*) >= 3 AND stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN round(corr(ra, rb), 6) END AS spearman, round(avg(abs(a - b)), 6) AS mean_abs_difference, (count(*) FILTER (abs(a - b) >= 0.5))::BIGINT AS disagreements FROM r GROUP BY source""")
+SELECT source, CASE WHEN count(*) >= 3 AND stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN round(corr(ra, rb), 6) + 0 END AS spearman, round(avg(abs(a - b)), 6) AS mean_abs_difference, (count(*) FILTER (abs(a - b) >= 0.5))::BIGINT AS disagreements FROM r GROUP BY source""")
 def spearman_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("source", F.col("quality").cast("double").alias("a"), (F.col("n_chars") % 5).cast("double").alias("b"))
     s = evaluation.spearman(d, "a", "b", ["source"])
-    return s.select("source", F.round("spearman", 6).alias("spearman"), F.round("mean_abs_difference", 6).alias("mean_abs_difference"), "disagreements")
+    return s.select("source", (F.round("spearman", 6) + 0.0).alias("spearman"), F.round("mean_abs_difference", 6).alias("mean_abs_difference"), "disagreements")
 
 
 GATES = [("quality", "en:quality", 0.5, None), ("toxicity", "en:toxic", None, 0.05), ("missing", "xx:toxic", 0.0, None)]
