@@ -156,8 +156,10 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
 
 def _with_bitmaps(keyed: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Texts and bitmaps meet by a sort-merge join at every size, as the bitmaps grow with the texts."""
-    return keyed.join(bitmaps.select("doc", "th", "n_dropped", "kept").hint("merge"), ["doc", "th"], "left")
+    """Texts and bitmaps meet by a sort-merge join at every size, as the bitmaps grow with the texts. The bitmaps are
+    written first, so that a task never holds Python workers for both steps."""
+    bitmaps = keep(bitmaps.select("doc", "th", "n_dropped", "kept"), "bitmaps")
+    return keyed.join(bitmaps.hint("merge"), ["doc", "th"], "left")
 
 
 def deduplicated(docs: DataFrame, **params) -> DataFrame:
