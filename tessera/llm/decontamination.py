@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-In documents and benchmark items alike, numbers, names (capitalised words within a sentence) and units after a
+In documents and benchmark items alike, numbers (not those within words), names (capitalised words within a sentence) and units after a
 number become typed placeholders, case and punctuation go, and every five-token window of the result is hashed.
 Windows are joined on the hash. An item is found in a document when at least ``SIMILARITY`` of its distinct windows
 are there and its slots are filled consistently: within one alignment, a value of the item always stands
@@ -33,7 +33,7 @@ PUNCTUATION = ".,;:!?\"()[]{}*#&$%|<>=_~`"
 #: Units that count as such after a number.
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|miles|ft|feet|in|inches|yards|l|ml|litres|liters|gallons|s|sec|seconds|min|minutes|h|hr|hours|days|weeks|months|years|mph|kmh|percent|dollars|euros|pounds|cents|degrees"
 NAMED = r" (?<=[\p{L}\p{N},;] )\p{Lu}[\p{L}'’-]*+"
-NUMBERED = r"[0-9]++(?:[.,:/][0-9]++)*+"
+NUMBERED = r"[0-9](?<![\p{L}\p{N}][0-9])[0-9]*+(?:[.,:/][0-9]++)*+"
 WITH_UNIT = f"{NUMBER}( ?)(?:{UNITS})(?![\\p{{L}}\\p{{N}}])"
 
 
@@ -113,7 +113,9 @@ def found(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     pairs = pairs.select("doc_id", "th", "item_id", "shift", F.col("p.kind").alias("kind"), F.col("p.a").alias("a"), F.col("p.b").alias("b"))
     n = pairs.groupBy("doc_id", "th", "item_id", "shift", "kind", "a", "b").agg(F.count("*").alias("n"))
     best = n.groupBy("doc_id", "th", "item_id", "shift", "kind", "a").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
-    fit = best.groupBy("doc_id", "th", "item_id").agg((F.sum("best") / F.sum("n")).alias("consistency"))
+    # each value of the item over all alignments; the least consistent one decides
+    per_value = best.groupBy("doc_id", "th", "item_id", "kind", "a").agg((F.sum("best") / F.sum("n")).alias("share"))
+    fit = per_value.groupBy("doc_id", "th", "item_id").agg(F.min("share").alias("consistency"))
     c, f = cover.alias("c"), fit.alias("f")
     same = F.col("c.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("c.th") == F.col("f.th")) & (F.col("c.item_id") == F.col("f.item_id"))
     out = c.join(f, same, "left").select("c.*", F.coalesce("f.consistency", F.lit(1.0)).alias("consistency"))

@@ -149,32 +149,71 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
 
+class _Rows:
+    """The rows of one bucket so far, in arrays that double."""
+
+    def __init__(self, with_long: bool) -> None:
+        self.fps: list[bytes] = []
+        self.codes: dict[bytes, int] = {}
+        self.comp, self.short, self.hit = np.zeros(16, np.int64), np.zeros((16, BINS), np.uint16), np.zeros(16, bool)
+        self.long = np.zeros((16, LONG_BINS), np.uint8) if with_long else None
+
+    def resembling(self, short: np.ndarray, comp: bytes, number: int) -> np.ndarray:
+        """Earlier rows of other components that resemble this one and share no earlier band with it."""
+        n, out = len(self.fps), []
+        other = np.flatnonzero(self.comp[:n] != self.codes.setdefault(comp, len(self.codes)))
+        for at in range(0, len(other), 4096):
+            block = other[at : at + 4096]
+            same = self.short[block] == short
+            near = same.mean(axis=1) >= ALIKE
+            first = same[near].reshape(int(near.sum()), BANDS, ROWS).all(axis=2).argmax(axis=1)
+            out.append(block[near][first == number])
+        return np.concatenate(out) if out else other
+
+    def add(self, fp: bytes, short: np.ndarray, comp: bytes, hit: bool, long: np.ndarray | None = None) -> None:
+        n = len(self.fps)
+        if n == len(self.comp):
+            grow = lambda x: np.concatenate([x, np.zeros_like(x)])
+            self.comp, self.short, self.hit = grow(self.comp), grow(self.short), grow(self.hit)
+            self.long = None if self.long is None else grow(self.long)
+        self.fps.append(fp)
+        self.comp[n], self.short[n], self.hit[n] = self.codes[comp], short, hit
+        if long is not None:
+            self.long[n] = long
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (band, fp, short, comp, number) sorted by band: the classes that resemble one of another component."""
+    band, rows = None, _Rows(False)
+    found = lambda: pa.RecordBatch.from_arrays([pa.array([rows.fps[i] for i in np.flatnonzero(rows.hit[: len(rows.fps)])], pa.binary())], names=["fp"])
+    for b in batches:
+        for k, fp, short, comp, number in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            if k != band:
+                if rows.hit.any():
+                    yield found()
+                band, rows = k, _Rows(False)
+            s = np.frombuffer(short, "<u2")
+            near = rows.resembling(s, comp, number)
+            rows.hit[near] = True
+            rows.add(fp, s, comp, len(near) > 0)
+    if rows.hit.any():
+        yield found()
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (band, fp, short, comp, number, long) sorted by band: all resembling pairs across components, each row
-    compared with the bucket's earlier rows of other components."""
-    band, fps, codes, n = None, [], {}, 0
-    comps, shorts, longs = np.zeros(64, np.int64), np.zeros((64, BINS), np.uint16), np.zeros((64, LONG_BINS), np.uint8)
+    """From rows (band, fp, short, comp, number, long) sorted by band: the pairs across components that resemble in
+    both sketches."""
+    band, rows = None, _Rows(True)
     for b in batches:
         left, right = [], []
         for k, fp, short, comp, number, long in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
             if k != band:
-                band, fps, codes, n = k, [], {}, 0
-            if n == len(comps):
-                comps, shorts, longs = np.resize(comps, 2 * n), np.concatenate([shorts, np.zeros_like(shorts)]), np.concatenate([longs, np.zeros_like(longs)])
-            s, t, code = np.frombuffer(short, "<u2"), np.frombuffer(long, np.uint8), codes.setdefault(comp, len(codes))
-            other = np.flatnonzero(comps[:n] != code)
-            for at in range(0, len(other), 4096):
-                block = other[at : at + 4096]
-                same = shorts[block] == s
-                block, same = block[(m := same.mean(axis=1) >= ALIKE)], same[m]
-                # a pair is proposed in the first band that it shares only
-                first = same.reshape(len(block), BANDS, ROWS).all(axis=2).argmax(axis=1)
-                block = block[first == number]
-                for i in block[(longs[block] == t).mean(axis=1) >= ALIKE_LONG]:
-                    left.append(min(fps[i], fp)), right.append(max(fps[i], fp))
-            comps[n], shorts[n], longs[n] = code, s, t
-            fps.append(fp)
-            n += 1
+                band, rows = k, _Rows(True)
+            s, t = np.frombuffer(short, "<u2"), np.frombuffer(long, np.uint8)
+            near = rows.resembling(s, comp, number)
+            for i in near[(rows.long[near] == t).mean(axis=1) >= ALIKE_LONG] if len(near) else ():
+                left.append(min(rows.fps[i], fp)), right.append(max(rows.fps[i], fp))
+            rows.add(fp, s, comp, False, t)
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
 
@@ -189,13 +228,19 @@ def _long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, b, text of a, text of b): the pairs whose full sets are similar enough."""
     words = _Words()
-    last: tuple[str, np.ndarray] = ("", np.zeros(0, np.uint64))
+    sets: dict[bytes, np.ndarray] = {}
+
+    def of(fp: bytes, text: str) -> np.ndarray:
+        if fp not in sets:
+            if len(sets) >= 2000:
+                sets.clear()
+            sets[fp] = shingles(text, words)
+        return sets[fp]
+
     for batch in batches:
         left, right = [], []
         for a, b, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if ta != last[0]:
-                last = (ta, shingles(ta, words))
-            x, y = last[1], shingles(tb, words)
+            x, y = of(a, ta), of(b, tb)
             both = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * both >= PERCENT * (len(x) + len(y) - both):
                 left.append(a), right.append(b)
@@ -250,9 +295,10 @@ def classes(docs: DataFrame) -> DataFrame:
     sketched = keep(sketched.select("id.doc_id", "id.th", "n_shingles", "fp", "bands", "short"), "sketched")
     # a set's bands follow from it, so any row of the class serves
     one = keep(sketched.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min(F.struct("bands", "short")).alias("s")).select("fp", "s.*"), "classes")
-    buckets = one.select(F.posexplode("bands").alias("number", "band"), "fp", "short")
-    shared = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    buckets = keep(buckets.join(shared, "band"), "buckets")
+    # the sketches join only those buckets that hold more than one class
+    bands = one.select(F.posexplode("bands").alias("number", "band"), "fp")
+    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    buckets = keep(bands.join(shared, "band").join(one.select("fp", "short"), "fp").select("number", "band", "fp", "short"), "buckets")
     ordered = buckets.repartitionByRange("band").sortWithinPartitions("band", "fp")
     tried = keep(ordered.select("band", "fp", "short").mapInArrow(_propose, "a binary, b binary").distinct(), "tried")
     links = keep(confirm(tried, sketched, docs), "links")
@@ -260,7 +306,9 @@ def classes(docs: DataFrame) -> DataFrame:
     labelled = buckets.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("band", "fp", "short", F.coalesce("comp", "fp").alias("comp"), "number")
     mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
     again = keep(labelled.join(mixed, "band"), "again")
-    long = texts_of(again.select("fp").distinct(), sketched, docs).mapInArrow(_long, "fp binary, long binary")
+    # the longer sketch is made only for classes that the short one can't tell from one of another component
+    near = again.repartitionByRange("band").sortWithinPartitions("band", "fp").select("band", "fp", "short", "comp", "number").mapInArrow(_candidates, "fp binary")
+    long = keep(texts_of(near.distinct(), sketched, docs).mapInArrow(_long, "fp binary, long binary"), "long")
     again = again.join(long, "fp").repartitionByRange("band").sortWithinPartitions("band", "fp")
     more = again.select("band", "fp", "short", "comp", "number", "long").mapInArrow(_across, "a binary, b binary")
     more = keep(more.join(tried, ["a", "b"], "left_anti"), "more")
