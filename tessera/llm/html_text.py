@@ -208,8 +208,11 @@ def extract(page: str, weights: dict[str, float]) -> str:
             lo -= 1
         while hi < len(toks) and last.zone in ("article", "content") and (toks[hi].zone == last.zone or toks[hi].inside):
             hi += 1
-        while lo > 0 and toks[lo].text is not None and not toks[lo].starts and toks[lo - 1].zone != "out":
+        joins = lambda t: t.zone != "out" and (not t.starts if t.text is not None else t.tag in INLINE)
+        while lo > 0 and joins(toks[lo]) and toks[lo - 1].zone != "out":
             lo -= 1
+        while hi < len(toks) and joins(toks[hi]):
+            hi += 1
     for t in toks[lo:hi]:
         if t.text is None or t.zone == "out":
             continue
@@ -226,7 +229,8 @@ def labelled_pages() -> list[tuple[str, list[str]]]:
     for k in range(24):
         paras = [" ".join(f"w{k}x{j}y{i}" for i in range(8 + (k * 7 + j * 5) % 40)) for j in range(1 + k % 5)]
         title = f"title{k} of page{k}"
-        article = f"<h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in paras)
+        marked = [p if j % 2 else f"<b>{p.split()[0]}</b> " + " ".join(p.split()[1:-1]) + f" <a href='/w'>{p.split()[-1]}</a>" for j, p in enumerate(paras)]
+        article = f"<h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in marked)
         top = f"<nav><ul>{menu}</ul></nav>" if k % 2 else f"<div class='menu'><ul>{menu}</ul></div>"
         advert = f"<div class='ad'>buy{k} now{k} cheap{k} offers{k}</div>"
         foot = f"<footer>copyright{k} imprint{k} <a href='/p'>privacy{k}</a></footer>"

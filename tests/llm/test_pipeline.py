@@ -13,9 +13,9 @@ BENCH = "w1 w2 w3 w4 w5 and a passage of the benchmark that no other document of
 def test_stages_and_run(spark, tmp_path):
     rows = documents()
     words = [f"ord{i % 40} filler{i % 7} plain{i}" for i in range(80)]
-    rows += [(5000 + i, f"{words[i]} some text about number{i} " + ("blarg gruft zonk" if i % 4 == 0 else "fine day"), "en", "a", 10) for i in range(80)]
+    rows += [(5000 + i, f"{words[i]} some text about number{i} " + ("blarg gruft zonk" if i % 8 == 0 else "fine day before bench by good great zebra words that have no harm"), "en", "a", 10) for i in range(80)]
     rows += [(6000, f"before it {BENCH} and after it", "en", "b", 10)]
-    labels = [(5000 + i, 1, int(i % 4 == 0)) for i in range(80)]
+    labels = [(5000 + i, 1, int(i % 8 == 0)) for i in range(80)]
     sf = str(tmp_path)
     spark.createDataFrame(rows, DOCS).write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
@@ -29,7 +29,7 @@ def test_stages_and_run(spark, tmp_path):
         docs = keep(out, f"test-{i}")
         left[name] = {r.doc_id for r in docs.select("doc_id").collect()}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "mixing"]
-    assert not left["toxicity"] & {5000 + i for i in range(0, 80, 4)} and 5001 in left["toxicity"]
+    assert not left["toxicity"] & {5000 + i for i in range(0, 80, 8)} and 5001 in left["toxicity"]
     assert left["line_dedup"] == left["toxicity"]
     assert all(not (i in left["near_dedup"] and 100 + i in left["near_dedup"]) for i in range(12)) and left["near_dedup"] <= left["line_dedup"]
     assert 6000 in left["near_dedup"] and 6000 not in left["decontamination"] and left["mixing"] == left["decontamination"]
