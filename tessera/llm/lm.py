@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import doc_hash_mod, keep
 
 HELD_OUT, FOLDS = 1, 5
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 700_000
 END = np.uint64(0x9AE16A3B2F90404F)
 START = np.uint64(0xC3A5C85C97CB3127)
 BUCKETS = 24
