@@ -90,8 +90,8 @@ def sketch(elements: np.ndarray, bins: int = BINS) -> np.ndarray:
         span = min(max(1, 2048 // n), bins - done if done < bins else 2 * bins - done)
         rounds = np.arange(done, done + span, dtype=np.uint64)
         v = _mix(elements[None, :] + (rounds[:, None] + np.uint64(1)) * _STEP)
-        low = (v >> np.uint64(10)) | (rounds[:, None] << np.uint64(54))
-        at = (v & np.uint64(1023)).astype(np.int64) * bins >> 10 if done < bins else np.broadcast_to((rounds[:, None] - np.uint64(bins)).astype(np.int64), v.shape)
+        low = (v >> np.uint64(20)) | (rounds[:, None] << np.uint64(44))
+        at = (v & np.uint64(0xFFFFF)).astype(np.int64) * bins >> 20 if done < bins else np.broadcast_to((rounds[:, None] - np.uint64(bins)).astype(np.int64), v.shape)
         np.minimum.at(out, at.ravel(), low.ravel())
         done += span
         if (out != none).all():
