@@ -64,9 +64,8 @@ def test_store_rows(spark):
 
 
 def run(stream, name, mode="append"):
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).start()
-    q.processAllAvailable()
-    q.stop()
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
 
 
 def test_trace_windows(spark, tmp_path):
@@ -80,7 +79,10 @@ def test_trace_windows(spark, tmp_path):
 def test_conversation_memory(spark, tmp_path):
     jsonl(tmp_path / "x.jsonl", [{"thread_id": "a", "question": f"q{i}", "answer": "x"} for i in range(9)])
     s = spark.readStream.schema("thread_id string, question string, answer string").json(str(tmp_path))
+    # timeouts would keep batches without data coming
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", False)
     run(streams.conversation_memory(s, max_turns=4), "memory_rows", "update")
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     assert spark.table("memory_rows").orderBy(F.desc("n")).first().n == 4
 
 
