@@ -48,7 +48,7 @@ ANSWER = "block bigint, part int, kind int, counts binary, n_tokens bigint, n_ty
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 150_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -87,7 +87,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[p
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], names=["block", "doc_ids", "train", "lens", "vocab", "toks"])
 
     for b in batches:
-        for doc_id, is_train, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+        for doc_id, is_train, text in _rows(b, ("doc_id", "train", "text")):
             toks = text.encode().lower().split()
             h = np.empty(len(toks) + 1, np.uint64)
             h[:-1] = np.fromiter(map(words.__getitem__, toks), np.uint64, len(toks))
