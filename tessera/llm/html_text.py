@@ -34,7 +34,8 @@ UNWANTED = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices alert "
     "sidebar sidebars side rail aside widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs toc footer foot masthead topbar toolbar "
     "comment comments commentlist respond reply replies disqus discussion share sharing social related recommended recommendations more popular trending "
-    "subscribe subscription newsletter signup login popup modal overlay search pagination pager tags copyright legal hidden".split()
+    "subscribe subscription newsletter signup login popup modal overlay search pagination pager tags copyright legal hidden "
+    "adslot adbox adsense adunit advertorial disclaimer paywall cta recommend reviews feedback responses".split()
 )
 UNWANTED_HEADER = {"header", "banner"}
 WANTED = set("article content post entry story main body text prose markdown".split())
@@ -101,11 +102,16 @@ class Token:
         return f"word {self.zone}{' link' if self.link else ''}", self.n
 
 
-def tokens(page: str) -> list[Token]:
+def tokens(page: str, wanted: frozenset[int] = frozenset()) -> list[Token]:
     """Text runs and tags in page order. ``inside``: an unwanted element within an article; ``starts``: a run
-    that begins a block."""
+    that begins a block. ``wanted``: places of elements whose names are passed over.
+
+    If the only article of a page stands in elements that are unwanted by their names alone (a wrapper called
+    "with-sidebar"), those names are passed over."""
     out: list[Token] = []
     stack: list[tuple[str, str, bool]] = [("", "page", False)]
+    named: list[int] = [-1]  # per open element: its place if its names made it unwanted
+    blamed: set[int] = set()
     at, fresh = 0, True
     pos, end = 0, len(page)
 
@@ -126,7 +132,7 @@ def tokens(page: str) -> list[Token]:
         if m[1]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    del stack[i:], named[i:]
                     break
             _, zone, inside = stack[-1]
         elif tag in RAW:
@@ -140,12 +146,20 @@ def tokens(page: str) -> list[Token]:
                 # these end an open element of their kind
                 for i in range(len(stack) - 1, max(0, len(stack) - 6), -1):
                     if stack[i][0] == tag:
-                        del stack[i:]
+                        del stack[i:], named[i:]
                         break
                     if stack[i][0] not in INLINE and stack[i][0] != "p":
                         break
                 _, zone, inside = stack[-1]
-            new = _zone(tag, m[3] or "", zone)
+            attributes = "" if m.start() in wanted else m[3] or ""
+            new = _zone(tag, attributes, zone)
+            if tag in ARTICLE and zone == "out" and _zone(tag, attributes, "page") == "article":
+                first = next(n for (_, z, _), n in zip(stack, named, strict=True) if z == "out")
+                if first >= 0:  # not by its tag
+                    blamed.update(n for n in named if n >= 0)
+            alone = _zone(tag, attributes, "page") if zone == "out" and attributes else new
+            by_name = bool(attributes) and alone == "out" and tag not in NEVER and tag != "header"
+            named.append(m.start() if by_name else -1)
             inside = inside or (new == "out" and zone in ("article", "content"))
             stack.append((tag, new, inside))
             zone = new
@@ -155,6 +169,8 @@ def tokens(page: str) -> list[Token]:
             fresh = True
         out.append(Token(None, tag, zone, False, inside, False))
     text(end)
+    if blamed - wanted and not any(t.zone == "article" for t in out):
+        return tokens(page, wanted | blamed)
     return out
 
 

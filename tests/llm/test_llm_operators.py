@@ -168,6 +168,8 @@ PAGES = [
     ("<html><body><nav><a href=x>Home</a> <a href=y>News</a></nav><article><h1>Big  news</h1><p>One &amp; two\nthree<p>Four &#233; <b>five</b>s</article><footer>legal words here</footer>", "Big news\nOne & two three\nFour é fives"),
     ("<div id=wrap><header><h1>Site</h1></header><div class='cookie-notice'>We use cookies</div><div id=content><h2>Title here now</h2><p>Alpha beta gamma delta.<div class=ad>Buy this</div><p>Second one<br>three</p><ul><li>item one<li>item two</ul></div><aside>side</aside><div class=comments><p>Reader said something quite long here</p></div><form>Search <button>Go</button></form></div>", "Title here now\nAlpha beta gamma delta.\nSecond one three\nitem one\nitem two"),
     ("<article class=post><header><h1>Head</h1></header><p>Words in the article.</p><script>var a='</p><p>no</p>'</script><section id=comments><p>First comment is long and should go.</p></section></article>", "Head\nWords in the article."),
+    ("<div class='page with-sidebar'><div class='two ads'><article><p>In a wrapper with an odd name.</p></article></div><div class=sidebar>links</div></div>", "In a wrapper with an odd name."),
+    ("<main><p>The main text stands here.</p></main><div class=comments><article><p>A comment as an article.</p></article></div>", "The main text stands here."),
     ("just plain text", "just plain text"),
     ("", ""),
     (None, ""),
