@@ -14,8 +14,8 @@ for independent hashes.
    resembles in the sketch and in a longer one of ``LONG_BINS`` coordinates, and wasn't proposed before, is
    proposed: so no link is lost behind a leader. Links of step 4 are confirmed and the components joined anew.
 
-A pair at the limit of 0.85 misses all bands with a probability of 4e-7, and falls below ``ALIKE`` of agreeing
-coordinates with one below 1e-6.
+A pair at the very limit of 0.85 misses all bands with a probability of 4e-7, falls below ``ALIKE`` of agreeing
+coordinates with one of 1e-5 and below ``ALIKE_LONG`` of the longer sketch with one of 5e-7; more alike pairs far less.
 
 Defined cases: a null text or one without words has an empty set and is linked with nothing; fewer than five
 words count as one shingle; copies and repeated rows are linked; component_id is the smallest doc_id of the
