@@ -6,7 +6,8 @@ Windows are joined on the hash. An item is found in a document when at least ``S
 are there and its slots are filled consistently: within one alignment, a value of the item always stands
 for the same value of the document. So a question is caught with other numbers or names in it.
 
-Everything is DataFrame expressions. Items with the same template form a class, named by its smallest id.
+Everything is DataFrame expressions. Items with the same template whose slots are equal to one another in the
+same places form a class and are found together; each of them is reported.
 
 Defined cases: a null text has no windows; items of fewer than five tokens have none and are found nowhere; windows
 with fewer than ``LITERALS`` ordinary tokens say nothing and are left out on both sides; rows that share a doc_id are
@@ -77,16 +78,26 @@ def _slots(form: Column, text: Column, i: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id (of the class), i, h and slots of the informative windows, once for each class of equal templates."""
+    """cls, items (the class's item ids), i, h and slots of the informative windows, once for each class of items with
+    equal templates whose slots are equal to one another in the same places."""
     b = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).where(F.col("item_id").isNotNull())
-    b = b.withColumn("template", F.array_join(_tokens(_canonical(F.col("text"))), " ")).where(F.col("template").isNotNull())
-    first = b.groupBy("template").agg(F.min(F.struct("item_id", "text")).alias("x"), F.array_sort(F.collect_set("item_id")).alias("items")).select("x.item_id", "x.text", "items")
-    w = slotted_windows(first, "item_id", "items")
+    b = b.select("item_id", "text", F.explode(F.array(_tokens(_canonical(F.col("text"))))).alias("form")).where(F.col("form").isNotNull())
+    b = b.select("item_id", "text", "form", F.explode(F.array(_marks(F.col("form"), F.col("text")))).alias("marks"))
+    pattern = F.transform("marks", lambda m: F.array_position(F.col("marks"), m))
+    b = b.withColumn("cls", F.xxhash64(F.array_join("form", " "), pattern))
+    first = b.groupBy("cls").agg(F.min("text").alias("text"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    w = slotted_windows(first, "cls", "items")
     return w.where(WINDOW - F.size("slots") >= LITERALS)
 
 
+def _marks(form: Column, text: Column) -> Column:
+    """The placeholders of a whole text in order, each with its value."""
+    pairs = F.zip_with(form, _tokens(text), lambda c, v: F.struct(c.alias("kind"), F.lower(v).alias("value")))
+    return F.transform(F.filter(pairs, lambda p: p["kind"].rlike(f"[{NUMBER}{NAME}{UNIT}]")), lambda p: F.concat_ws(" ", p["kind"], p["value"]))
+
+
 def found(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, consistency: float = CONSISTENCY) -> DataFrame:
-    """doc_id, th (hash of the text), item_id, items, n_matched, n_windows, coverage and consistency of the items
+    """doc_id, th (hash of the text), cls, items, n_matched, n_windows, coverage and consistency of the classes of items
     found. The documents' windows are hashed and met with the benchmark's where they are made,
     and only those that are in it go on."""
     items = keep(item_windows(benchmark), "items")
@@ -94,37 +105,38 @@ def found(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64(text).alias("th"))
     hits = windows(rows, "doc_id", "th").join(known, "h").select("doc_id", "th", "h")
-    sizes = items.groupBy("item_id").agg(F.count_distinct("h").alias("n_windows"), F.first("items").alias("items"))
-    of_item = items.select("item_id", "h").distinct()
+    sizes = items.groupBy("cls").agg(F.count_distinct("h").alias("n_windows"), F.first("items").alias("items"))
+    of_item = items.select("cls", "h").distinct()
     # one row for each window of a document, whatever its repeats; an item's share of them by partial sums
     once = hits.select("doc_id", "th", "h").distinct()
     side, _ = broadcast_if_small(of_item, BROADCAST_WINDOWS)
-    cover = once.join(side, "h").groupBy("doc_id", "th", "item_id").agg(F.count("*").alias("n_matched"))
-    cover = cover.join(sizes, "item_id").withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= similarity)
+    cover = once.join(side, "h").groupBy("doc_id", "th", "cls").agg(F.count("*").alias("n_matched"))
+    cover = cover.join(sizes, "cls").withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= similarity)
     cover = keep(cover, "cover")
-    slotted = items.where(F.size("slots") > 0).select("item_id", "h", F.col("i").alias("at"), F.col("slots").alias("own"))
+    slotted = items.where(F.size("slots") > 0).select("cls", "h", F.col("i").alias("at"), F.col("slots").alias("own"))
     slotted, _ = broadcast_if_small(slotted, BROADCAST_WINDOWS)
     # slots are looked up in the texts of candidates only, once for each text
     texts, _ = broadcast_if_small(cover.select("th").distinct())
     there = rows.join(texts, "th").groupBy("th").agg(F.max("text").alias("text"))
     pairs = slotted_windows(there, "th").where(F.size("slots") > 0).join(slotted, "h")
-    pairs = pairs.join(cover.select("doc_id", "th", "item_id"), ["th", "item_id"])
-    pairs = pairs.select("doc_id", "th", "item_id", (F.col("i") - F.col("at")).alias("shift"), F.explode(F.zip_with("own", "slots", lambda o, d: F.struct(o["kind"].alias("kind"), o["value"].alias("a"), d["value"].alias("b")))).alias("p"))
-    pairs = pairs.select("doc_id", "th", "item_id", "shift", F.col("p.kind").alias("kind"), F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-    n = pairs.groupBy("doc_id", "th", "item_id", "shift", "kind", "a", "b").agg(F.count("*").alias("n"))
-    best = n.groupBy("doc_id", "th", "item_id", "shift", "kind", "a").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
+    pairs = pairs.join(cover.select("doc_id", "th", "cls"), ["th", "cls"])
+    pairs = pairs.select("doc_id", "th", "cls", (F.col("i") - F.col("at")).alias("shift"), F.explode(F.zip_with("own", "slots", lambda o, d: F.struct(o["kind"].alias("kind"), o["value"].alias("a"), d["value"].alias("b")))).alias("p"))
+    pairs = pairs.select("doc_id", "th", "cls", "shift", F.col("p.kind").alias("kind"), F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+    n = pairs.groupBy("doc_id", "th", "cls", "shift", "kind", "a", "b").agg(F.count("*").alias("n"))
+    best = n.groupBy("doc_id", "th", "cls", "shift", "kind", "a").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
     # each value of the item over all alignments; the least consistent one decides
-    per_value = best.groupBy("doc_id", "th", "item_id", "kind", "a").agg((F.sum("best") / F.sum("n")).alias("share"))
-    fit = per_value.groupBy("doc_id", "th", "item_id").agg(F.min("share").alias("consistency"))
+    per_value = best.groupBy("doc_id", "th", "cls", "kind", "a").agg((F.sum("best") / F.sum("n")).alias("share"))
+    fit = per_value.groupBy("doc_id", "th", "cls").agg(F.min("share").alias("consistency"))
     c, f = cover.alias("c"), fit.alias("f")
-    same = F.col("c.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("c.th") == F.col("f.th")) & (F.col("c.item_id") == F.col("f.item_id"))
+    same = F.col("c.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("c.th") == F.col("f.th")) & (F.col("c.cls") == F.col("f.cls"))
     out = c.join(f, same, "left").select("c.*", F.coalesce("f.consistency", F.lit(1.0)).alias("consistency"))
-    return out.where(F.col("consistency") >= consistency).select("doc_id", "th", "item_id", "items", "n_matched", "n_windows", "coverage", "consistency")
+    return out.where(F.col("consistency") >= consistency).select("doc_id", "th", "cls", "items", "n_matched", "n_windows", "coverage", "consistency")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
-    """doc_id, item_id, n_matched, n_windows, coverage and consistency of every item found, once for each text."""
-    return found(docs, benchmark, **params).select("doc_id", "item_id", "n_matched", "n_windows", "coverage", "consistency")
+    """doc_id, item_id, n_matched, n_windows, coverage and consistency of every item found, once for each text; all
+    items of a class are found together."""
+    return found(docs, benchmark, **params).select("doc_id", F.explode("items").alias("item_id"), "n_matched", "n_windows", "coverage", "consistency")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:

@@ -148,6 +148,16 @@ def test_decontamination_templates(spark):
     assert 13 in ids and 14 in ids and 10 not in ids and 11 not in ids and None not in ids and kept.columns == ["doc_id", "text", "h", "__x"]
 
 
+def test_decontamination_items_of_one_template(spark):
+    text = "we put {} apples and {} pears into the basket by the door and went home"
+    bench = [(1, text.format(5, 5)), (2, text.format(5, 7)), (3, text.format(8, 9))]
+    b = spark.createDataFrame(bench, "item_id bigint, text string")
+    d = spark.createDataFrame([(10, "before it " + bench[1][1]), (11, "before it " + text.format(4, 4))], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.report(d, b).collect()}
+    assert {(10, 2), (10, 3), (11, 1)} <= got and (10, 1) not in got
+    assert decontamination.clean_documents(d, b).count() == 0
+
+
 def test_decontamination_brute_force(spark, docs, rows):
     bench = [(i, rows[2 * i][1]) for i in range(6)]
     b = spark.createDataFrame(bench, "item_id bigint, text string")
