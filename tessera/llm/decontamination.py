@@ -4,7 +4,8 @@ In documents and benchmark items alike, numbers (not those within words), names
 number become typed placeholders, case and punctuation go, and every five-token window of the result is hashed.
 Windows are joined on the hash. An item is found in a document when at least ``SIMILARITY`` of its distinct windows
 are there and its slots are filled consistently: within one alignment, a value of the item always stands
-for the same value of the document. So a question is caught with other numbers or names in it.
+for the same value of the document. Each alignment is judged by itself; one that covers ``SIMILARITY`` of the windows
+with slots, or the one that covers most, has to be consistent. So a question is caught with other numbers or names in it.
 
 Everything is DataFrame expressions. Items with the same template whose slots are equal to one another in the
 same places form a class and are found together; each of them is reported.
@@ -105,7 +106,8 @@ def found(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64(text).alias("th"))
     hits = windows(rows, "doc_id", "th").join(known, "h").select("doc_id", "th", "h")
-    sizes = items.groupBy("cls").agg(F.count_distinct("h").alias("n_windows"), F.first("items").alias("items"))
+    slots = F.count_distinct(F.when(F.size("slots") > 0, F.col("i"))).alias("n_slotted")
+    sizes = items.groupBy("cls").agg(F.count_distinct("h").alias("n_windows"), F.first("items").alias("items"), slots)
     of_item = items.select("cls", "h").distinct()
     # one row for each window of a document, whatever its repeats; an item's share of them by partial sums
     once = hits.select("doc_id", "th", "h").distinct()
@@ -119,17 +121,19 @@ def found(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     texts, _ = broadcast_if_small(cover.select("th").distinct())
     there = rows.join(texts, "th").groupBy("th").agg(F.max("text").alias("text"))
     pairs = slotted_windows(there, "th").where(F.size("slots") > 0).join(slotted, "h")
-    pairs = pairs.join(cover.select("doc_id", "th", "cls"), ["th", "cls"])
-    pairs = pairs.select("doc_id", "th", "cls", (F.col("i") - F.col("at")).alias("shift"), F.explode(F.zip_with("own", "slots", lambda o, d: F.struct(o["kind"].alias("kind"), o["value"].alias("a"), d["value"].alias("b")))).alias("p"))
-    pairs = pairs.select("doc_id", "th", "cls", "shift", F.col("p.kind").alias("kind"), F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-    n = pairs.groupBy("doc_id", "th", "cls", "shift", "kind", "a", "b").agg(F.count("*").alias("n"))
-    best = n.groupBy("doc_id", "th", "cls", "shift", "kind", "a").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
-    # each value of the item over all alignments; the least consistent one decides
-    per_value = best.groupBy("doc_id", "th", "cls", "kind", "a").agg((F.sum("best") / F.sum("n")).alias("share"))
-    fit = per_value.groupBy("doc_id", "th", "cls").agg(F.min("share").alias("consistency"))
-    c, f = cover.alias("c"), fit.alias("f")
-    same = F.col("c.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("c.th") == F.col("f.th")) & (F.col("c.cls") == F.col("f.cls"))
-    out = c.join(f, same, "left").select("c.*", F.coalesce("f.consistency", F.lit(1.0)).alias("consistency"))
+    pairs = pairs.join(cover.select("th", "cls").distinct(), ["th", "cls"])
+    pairs = pairs.select("th", "cls", "at", (F.col("i") - F.col("at")).alias("shift"), F.explode(F.zip_with("own", "slots", lambda o, d: F.struct(o["kind"].alias("kind"), o["value"].alias("a"), d["value"].alias("b")))).alias("p"))
+    pairs = pairs.select("th", "cls", "at", "shift", F.col("p.kind").alias("kind"), F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+    covered = pairs.groupBy("th", "cls", "shift").agg(F.count_distinct("at").alias("covered"))
+    n = pairs.groupBy("th", "cls", "shift", "kind", "a", "b").agg(F.count("*").alias("n"))
+    per_value = n.groupBy("th", "cls", "shift", "kind", "a").agg((F.max("n") / F.sum("n")).alias("share"))
+    # in an alignment the least consistent value decides
+    aligned = per_value.groupBy("th", "cls", "shift").agg(F.min("share").alias("consistency")).join(covered, ["th", "cls", "shift"])
+    aligned = aligned.join(sizes.select("cls", "n_slotted"), "cls")
+    whole = F.when(F.col("covered") >= similarity * F.col("n_slotted"), F.col("consistency"))
+    fit = aligned.groupBy("th", "cls").agg(F.max(F.struct("covered", "consistency")).alias("top"), F.max(whole).alias("whole"))
+    fit = fit.select("th", "cls", F.greatest("top.consistency", "whole").alias("consistency"))
+    out = cover.join(fit, ["th", "cls"], "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
     return out.where(F.col("consistency") >= consistency).select("doc_id", "th", "cls", "items", "n_matched", "n_windows", "coverage", "consistency")
 
 

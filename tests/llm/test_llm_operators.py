@@ -158,6 +158,17 @@ def test_decontamination_items_of_one_template(spark):
     assert decontamination.clean_documents(d, b).count() == 0
 
 
+def test_decontamination_repeating_templates(spark):
+    texts = ["1 and 2 and 1 and 3 and 1 and 4 and 1 and 5 and 1 and 6 and 1 and 7", "compute the sum of 3 and 5 and 3 and 8 and 3 and 9 and 3 and 4 and 3 and 6", "row 1 has 2 red and 3 blue row 2 has 4 red and 5 blue row 3 has 6 red and 2 blue row 4 has 1 red and 7 blue"]
+    b = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    rows = [(10 + i, f"words before {t} and words after") for i, t in enumerate(texts)]
+    rows += [(20, texts[1].replace("and 3", "and 7", 1)), (21, f"{texts[1].replace('and 3', 'and 7', 1)} {texts[1]}")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.report(d, b).collect()}
+    assert {(10, 0), (11, 1), (12, 2), (21, 1)} <= got and (20, 1) not in got
+    assert {r.doc_id for r in decontamination.clean_documents(d.where("doc_id < 20"), b).collect()} == set()
+
+
 def test_decontamination_brute_force(spark, docs, rows):
     bench = [(i, rows[2 * i][1]) for i in range(6)]
     b = spark.createDataFrame(bench, "item_id bigint, text string")
