@@ -169,6 +169,18 @@ def test_decontamination_repeating_templates(spark):
     assert {r.doc_id for r in decontamination.clean_documents(d.where("doc_id < 20"), b).collect()} == set()
 
 
+def test_decontamination_names_and_units(spark):
+    tom = "Tom buys 3 apples at the market. Tom eats 2 of them on the way home. How many apples does Tom have left?"
+    hour = "the slow boat needs 1 hour to cross the wide lake"
+    b = spark.createDataFrame([(1, tom), (2, hour)], "item_id bigint, text string")
+    anna = tom.replace("Tom", "Anna").replace("3", "8")
+    rows = [(10, f"text before. {anna}"), (11, f"He said: \"{anna}\""), (12, anna.replace(" Anna", "\nAnna")), (13, tom.upper()), (14, tom.title()), (15, hour.replace("1 hour", "3 hours")), (16, hour.replace("1 hour", "3\nHours"))]
+    rows += [(17, "Tom runs to the market and How he eats nobody knows"), (18, tom.replace("How", "And how"))]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.report(d, b).collect()}
+    assert got == {(i, 1) for i in (10, 11, 12, 13, 14, 18)} | {(15, 2), (16, 2)}
+
+
 def test_decontamination_brute_force(spark, docs, rows):
     bench = [(i, rows[2 * i][1]) for i in range(6)]
     b = spark.createDataFrame(bench, "item_id bigint, text string")
