@@ -14,8 +14,8 @@ for independent hashes.
    resembles in the sketch and in a longer one of ``LONG_BINS`` coordinates, and wasn't proposed before, is
    proposed: so no link is lost behind a leader. Links of step 4 are confirmed and the components joined anew.
 
-A pair at the very limit of 0.85 misses all bands with a probability of 4e-7, falls below ``ALIKE`` of agreeing
-coordinates with one of 1e-5 and below ``ALIKE_LONG`` of the longer sketch with one of 5e-7; more alike pairs far less.
+A pair at the very limit of 0.85 misses all bands with a probability of 4e-7, falls below ``alike`` of agreeing
+coordinates with one of 1e-5 and below ``alike_long`` of the longer sketch with one of 5e-7; more alike pairs far less.
 
 Defined cases: a null text or one without words has an empty set and is linked with nothing; fewer than five
 words count as one shingle; copies and repeated rows are linked; component_id is the smallest doc_id of the
@@ -27,6 +27,7 @@ than doc_id and text are passed through by kept_documents() and not looked at ot
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +38,33 @@ from pyspark.sql import functions as F
 from tessera.llm.common import broadcast_if_small, keep
 
 SHINGLE = 5
-PERCENT = 85
-BANDS, ROWS = 25, 5
-BINS = BANDS * ROWS
-#: Share of agreeing coordinates from which a pair is proposed: 0.85 less 4.7 standard deviations.
-ALIKE = 0.70
+ROWS = 5
 LEADERS = 64
-#: Coordinates of the longer sketch that step 4 compares, a byte each, and the share of them from which a pair is
-#: proposed: 0.85 less 5 standard deviations.
+#: Coordinates of the longer sketch that step 4 compares, a byte each.
 LONG_BINS = 2000
-ALIKE_LONG = 0.81
+
+
+@dataclass(frozen=True)
+class Threshold:
+    """The least similarity of a link, in percent, and what finds such links."""
+
+    percent: int
+    bands: int
+    #: Share of agreeing coordinates from which a pair is proposed: the threshold less 4.7 standard deviations.
+    alike: float
+    #: The same of the longer sketch: the threshold less 5 standard deviations.
+    alike_long: float
+
+    @property
+    def bins(self) -> int:
+        return self.bands * ROWS
+
+
+#: The contract's threshold.
+CONTRACT = Threshold(85, 25, 0.70, 0.81)
+#: The pipeline's threshold; a pair at its limit misses all bands with a probability of 1.3e-7.
+STAGE = Threshold(80, 40, 0.66, 0.75)
+BINS = CONTRACT.bins
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,7 +117,7 @@ def sketch(elements: np.ndarray, bins: int = BINS) -> np.ndarray:
     return out
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterator[pa.RecordBatch], limit: Threshold) -> Iterator[pa.RecordBatch]:
     words = _Words()
     weights = _mix(np.arange(1, ROWS + 1, dtype=np.uint64))
     for b in batches:
@@ -111,8 +129,8 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fp.append(None), bands.append(None), short.append(None)
                 continue
             fp.append(xxhash.xxh3_128_digest(s.tobytes()))
-            k = _mix(sketch(s))
-            bands.append(_mix((k.reshape(BANDS, ROWS) * weights).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist())
+            k = _mix(sketch(s, limit.bins))
+            bands.append(_mix((k.reshape(limit.bands, ROWS) * weights).sum(axis=1, dtype=np.uint64) + np.arange(limit.bands, dtype=np.uint64)).view(np.int64).tolist())
             short.append((k >> np.uint64(48)).astype("<u2").tobytes())
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary())], names=["doc_id", "n_shingles", "fp", "bands", "short"])
 
@@ -120,30 +138,31 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Bucket:
     """Leaders of one bucket in a stream; each row costs one comparison with all of them."""
 
-    def __init__(self) -> None:
+    def __init__(self, limit: Threshold) -> None:
+        self.limit = limit
         self.fp: list[bytes] = []
-        self.short = np.zeros((0, BINS), np.uint16)
+        self.short = np.zeros((0, limit.bins), np.uint16)
 
     def add(self, fp: bytes, short: np.ndarray) -> Iterator[bytes]:
         """The leaders to propose; the row becomes a leader if there is none."""
         if self.fp:
             same = (self.short[-LEADERS:] == short).mean(axis=1)
             best = int(same.argmax())
-            if same[best] >= ALIKE:
+            if same[best] >= self.limit.alike:
                 yield self.fp[-LEADERS:][best]
                 return
         self.fp = [*self.fp[-LEADERS + 1 :], fp]
         self.short = np.concatenate([self.short[-LEADERS + 1 :], short[None, :]])
 
 
-def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _propose(batches: Iterator[pa.RecordBatch], limit: Threshold) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (band, fp): pairs of a class and a leader."""
-    band, bucket = None, _Bucket()
+    band, bucket = None, _Bucket(limit)
     for b in batches:
         left, right = [], []
         for k, fp, short in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             if k != band:
-                band, bucket = k, _Bucket()
+                band, bucket = k, _Bucket(limit)
             for leader in bucket.add(fp, np.frombuffer(short, "<u2")):
                 left.append(leader), right.append(fp)
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
@@ -152,10 +171,11 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Rows:
     """The rows of one bucket so far, in arrays that double."""
 
-    def __init__(self, with_long: bool) -> None:
+    def __init__(self, with_long: bool, limit: Threshold) -> None:
+        self.limit = limit
         self.fps: list[bytes] = []
         self.codes: dict[bytes, int] = {}
-        self.comp, self.short, self.hit = np.zeros(16, np.int64), np.zeros((16, BINS), np.uint16), np.zeros(16, bool)
+        self.comp, self.short, self.hit = np.zeros(16, np.int64), np.zeros((16, limit.bins), np.uint16), np.zeros(16, bool)
         self.long = np.zeros((16, LONG_BINS), np.uint8) if with_long else None
 
     def resembling(self, short: np.ndarray, comp: bytes, number: int) -> np.ndarray:
@@ -165,8 +185,8 @@ class _Rows:
         for at in range(0, len(other), 4096):
             block = other[at : at + 4096]
             same = self.short[block] == short
-            near = same.mean(axis=1) >= ALIKE
-            first = same[near].reshape(int(near.sum()), BANDS, ROWS).all(axis=2).argmax(axis=1)
+            near = same.mean(axis=1) >= self.limit.alike
+            first = same[near].reshape(int(near.sum()), self.limit.bands, ROWS).all(axis=2).argmax(axis=1)
             out.append(block[near][first == number])
         return np.concatenate(out) if out else other
 
@@ -182,16 +202,16 @@ class _Rows:
             self.long[n] = long
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], limit: Threshold) -> Iterator[pa.RecordBatch]:
     """From rows (band, fp, short, comp, number) sorted by band: the classes that resemble one of another component."""
-    band, rows = None, _Rows(False)
+    band, rows = None, _Rows(False, limit)
     found = lambda: pa.RecordBatch.from_arrays([pa.array([rows.fps[i] for i in np.flatnonzero(rows.hit[: len(rows.fps)])], pa.binary())], names=["fp"])
     for b in batches:
         for k, fp, short, comp, number in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
             if k != band:
                 if rows.hit.any():
                     yield found()
-                band, rows = k, _Rows(False)
+                band, rows = k, _Rows(False, limit)
             s = np.frombuffer(short, "<u2")
             near = rows.resembling(s, comp, number)
             rows.hit[near] = True
@@ -200,18 +220,18 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found()
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(batches: Iterator[pa.RecordBatch], limit: Threshold) -> Iterator[pa.RecordBatch]:
     """From rows (band, fp, short, comp, number, long) sorted by band: the pairs across components that resemble in
     both sketches."""
-    band, rows = None, _Rows(True)
+    band, rows = None, _Rows(True, limit)
     for b in batches:
         left, right = [], []
         for k, fp, short, comp, number, long in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
             if k != band:
-                band, rows = k, _Rows(True)
+                band, rows = k, _Rows(True, limit)
             s, t = np.frombuffer(short, "<u2"), np.frombuffer(long, np.uint8)
             near = rows.resembling(s, comp, number)
-            for i in near[(rows.long[near] == t).mean(axis=1) >= ALIKE_LONG] if len(near) else ():
+            for i in near[(rows.long[near] == t).mean(axis=1) >= limit.alike_long] if len(near) else ():
                 left.append(min(rows.fps[i], fp)), right.append(max(rows.fps[i], fp))
             rows.add(fp, s, comp, False, t)
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
@@ -225,7 +245,7 @@ def _long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(long, pa.binary())], names=["fp", "long"])
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirmed(batches: Iterator[pa.RecordBatch], limit: Threshold) -> Iterator[pa.RecordBatch]:
     """Rows (a, b, text of a, text of b): the pairs whose full sets are similar enough."""
     words = _Words()
     sets: dict[bytes, np.ndarray] = {}
@@ -242,7 +262,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             x, y = of(a, ta), of(b, tb)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= PERCENT * (len(x) + len(y) - both):
+            if 100 * both >= limit.percent * (len(x) + len(y) - both):
                 left.append(a), right.append(b)
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
@@ -255,7 +275,7 @@ def texts_of(involved: DataFrame, sketched: DataFrame, docs: DataFrame) -> DataF
     return docs.select(F.xxhash64(text).alias("th"), text.alias("text")).join(side, "th").groupBy("fp").agg(F.max("text").alias("text"))
 
 
-def confirm(pairs: DataFrame, sketched: DataFrame, docs: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, sketched: DataFrame, docs: DataFrame, limit: Threshold) -> DataFrame:
     """The pairs (a, b) of classes that are links."""
     involved = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
     texts = keep(texts_of(involved, sketched, docs), "texts")
@@ -263,7 +283,7 @@ def confirm(pairs: DataFrame, sketched: DataFrame, docs: DataFrame) -> DataFrame
         pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a")
         .join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
         .select("a", "b", "ta", "tb")
-        .mapInArrow(_confirmed, "a binary, b binary")
+        .mapInArrow(lambda batches: _confirmed(batches, limit), "a binary, b binary")
     )
 
 
@@ -289,9 +309,9 @@ def _by_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th")).alias("id"), text.alias("text"))
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, limit: Threshold = CONTRACT) -> DataFrame:
     """doc_id, n_shingles, fp (the set's class), comp (its component's representative class) of every row."""
-    sketched = _by_text(docs).mapInArrow(_sketched, "id struct<doc_id:bigint,th:bigint>, n_shingles bigint, fp binary, bands array<bigint>, short binary")
+    sketched = _by_text(docs).mapInArrow(lambda batches: _sketched(batches, limit), "id struct<doc_id:bigint,th:bigint>, n_shingles bigint, fp binary, bands array<bigint>, short binary")
     sketched = keep(sketched.select("id.doc_id", "id.th", "n_shingles", "fp", "bands", "short"), "sketched")
     # a set's bands follow from it, so any row of the class serves
     one = keep(sketched.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min(F.struct("bands", "short")).alias("s")).select("fp", "s.*"), "classes")
@@ -300,42 +320,42 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     buckets = keep(bands.join(shared, "band").join(one.select("fp", "short"), "fp").select("number", "band", "fp", "short"), "buckets")
     ordered = buckets.repartitionByRange("band").sortWithinPartitions("band", "fp")
-    tried = keep(ordered.select("band", "fp", "short").mapInArrow(_propose, "a binary, b binary").distinct(), "tried")
-    links = keep(confirm(tried, sketched, docs), "links")
+    tried = keep(ordered.select("band", "fp", "short").mapInArrow(lambda batches: _propose(batches, limit), "a binary, b binary").distinct(), "tried")
+    links = keep(confirm(tried, sketched, docs, limit), "links")
     labels = components(links)
     labelled = buckets.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("band", "fp", "short", F.coalesce("comp", "fp").alias("comp"), "number")
     mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
     again = keep(labelled.join(mixed, "band"), "again")
     # the longer sketch is made only for classes that the short one can't tell from one of another component
-    near = again.repartitionByRange("band").sortWithinPartitions("band", "fp").select("band", "fp", "short", "comp", "number").mapInArrow(_candidates, "fp binary")
+    near = again.repartitionByRange("band").sortWithinPartitions("band", "fp").select("band", "fp", "short", "comp", "number").mapInArrow(lambda batches: _candidates(batches, limit), "fp binary")
     long = keep(texts_of(near.distinct(), sketched, docs).mapInArrow(_long, "fp binary, long binary"), "long")
     again = again.join(long, "fp").repartitionByRange("band").sortWithinPartitions("band", "fp")
-    more = again.select("band", "fp", "short", "comp", "number", "long").mapInArrow(_across, "a binary, b binary")
+    more = again.select("band", "fp", "short", "comp", "number", "long").mapInArrow(lambda batches: _across(batches, limit), "a binary, b binary")
     more = keep(more.join(tried, ["a", "b"], "left_anti"), "more")
-    more_links = keep(confirm(more, sketched, docs), "more-links")
+    more_links = keep(confirm(more, sketched, docs, limit), "more-links")
     if more_links.limit(1).count():
         labels = components(links.union(more_links))
     return sketched.select("doc_id", "th", "n_shingles", "fp").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "th", "n_shingles", "fp", F.coalesce("comp", "fp").alias("comp"))
 
 
-def verdicts(docs: DataFrame) -> DataFrame:
+def verdicts(docs: DataFrame, limit: Threshold = CONTRACT) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, component_id and kept of every row."""
-    c = keep(classes(docs), "comps")
+    c = keep(classes(docs, limit), "comps")
     smallest = c.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("doc_id").alias("smallest"))
     out = c.join(smallest, "comp", "left")
     component = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
     return out.select("doc_id", "th", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, limit: Threshold = CONTRACT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    return verdicts(docs).drop("th")
+    return verdicts(docs, limit).drop("th")
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
+def kept_documents(docs: DataFrame, limit: Threshold = CONTRACT) -> DataFrame:
     """``docs`` with all its columns, one document of each component: its smallest doc_id."""
     no_id = F.lit(-(2**63))
-    gone = verdicts(docs).where(~F.col("kept")).select(F.coalesce("doc_id", no_id).alias("__doc"), F.col("th").alias("__th")).distinct()
+    gone = verdicts(docs, limit).where(~F.col("kept")).select(F.coalesce("doc_id", no_id).alias("__doc"), F.col("th").alias("__th")).distinct()
     side, _ = broadcast_if_small(keep(gone, "gone"), 200_000)
     keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("bigint"), no_id), "__th": F.xxhash64(F.coalesce("text", F.lit("")))})
     return keyed.join(side, ["__doc", "__th"], "left_anti").select(*docs.columns)
