@@ -1,23 +1,26 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-A text is taken as its distinct words and a word as the string of its bytes with an end mark. For each class c
-(toxic, ordinary), n_c(p) counts (document, word) pairs whose word begins with p, and
-
-    P_c(p | q) = max(n_c(p) - D, 0) / n_c(q) + sum over children r of q of min(n_c(r), D) / n_c(q) * S(p | q)
-
-for a prefix p and its parent q, where S(p | q) = T(p) / T(q) is the shared back-off of both classes: T counts
-distinct words, as Kneser-Ney continuation counts do. A word's log-likelihood is the sum along its prefixes. A
-rare form takes its value from the stem that it shares with others, and where neither class has evidence both
-take the shared value and cancel. The difference of the two log-likelihoods of a text is normalised for its
-length, and a logistic map of it, fitted on documents scored by models that didn't see them, gives 0 to 1.
-
-The model is fitted on at most ``MAX_TOXIC`` toxic and ``MAX_ORDINARY`` ordinary labelled documents, those of
-lowest hash (a bounded sample, see the parameters); every text is scored whole.
-
-Defined cases: a null text counts as empty; an empty text gets the score of a zero difference; a null doc_id
-belongs to the remainder of the empty text's crc32; labels that are null or repeated with different values for
-one doc_id are left out; without labelled documents of both classes every score is 0; an empty table gives an
-empty result; columns other than doc_id and text are passed through or not looked at.
+A text is the sequence of its bytes, A-Z lowered; every run of bytes that are no letter, digit or part of a longer
+character counts as one gap. For each class c (toxic, ordinary), n_c counts sequences of four bytes and of three:
+
+    P_c(x | abc) = max(n_c(abcx) - D, 0) / n_c(abc) + g_c(abc) * P_c(x | bc)
+    P_c(x | bc)  = max(n_c(bcx) - D, 0) / n_c(bc)   + g_c(bc)  * S(x | c)
+    S(x | c)     = T(cx) / T(c)
+
+where g_c is the mass that the discount D frees, and T(cx) counts the distinct bytes before cx in either class. This
+back-off is shared: a rare expression without evidence in either class takes the same value in both and cancels, and
+one known to a class only by its parts takes the value of the parts. The difference of the classes' log-likelihoods
+of a text, divided by the root of its length (the scale of its noise), is z; a logistic map of z alone, fitted on
+documents scored by models that didn't see them, gives 0 to 1.
+
+The model is fitted on at most ``MAX_TOXIC`` toxic and ``MAX_ORDINARY`` ordinary labelled ids, those of lowest hash (a
+bounded sample, see the parameters). Counts are summed on the executors; the driver gets the distinct sequences and a
+histogram of z. Every text is scored whole, every occurrence counts, and sums are exact, so copies score alike.
+
+Defined cases: a null text counts as empty; an empty text gets the score of z = 0; a null doc_id belongs to the
+remainder of the empty text's crc32; labels that are null or repeated with different values for one doc_id are left
+out; each row of a repeated doc_id is used; without labelled documents of both classes every score is 0; an empty
+table gives an empty result; columns other than doc_id and text are passed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,203 +35,244 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import doc_hash_mod
+from tessera.llm.common import doc_hash_mod, keep
 
 MAX_TOXIC = 4_000
 MAX_ORDINARY = 8_000
-#: Discounts tried; the one that predicts held-out folds best is used.
-DISCOUNTS = (0.75, 2.0, 4.0)
-DEPTH = 12
-#: Log-ratio from which a word counts as strong evidence.
-STRONG = 5.0
+DISCOUNT = 0.75
 REJECT = 0.3
 HELD_OUT, FOLDS = 2, 4
-PARTS = 3
-END = b"\n"
+PARTS = 5
+#: Bytes that are handled at a time; log-ratios are whole multiples of 1 / SCALE.
+PIECE = 1 << 20
+SCALE = float(1 << 20)
+#: Bins of z in the histogram for the logistic map, so many a unit.
+Z_BINS = 1_000
+
+_SYMBOLS = b"abcdefghijklmnopqrstuvwxyz0123456789" + bytes(range(0x80, 0x100))
+A = len(_SYMBOLS) + 1
+_CODES = np.zeros(256, np.uint8)
+_CODES[np.frombuffer(_SYMBOLS, np.uint8)] = np.arange(1, A)
+_CODES[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8)] = np.arange(1, 27)
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a column of non-null strings, and where each begins."""
+    a = column.cast(pa.large_string())
+    at = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1]
+    data = np.frombuffer(a.buffers()[2], np.uint8) if a.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data, at
+
+
+def _groups(at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about PIECE bytes; a longer text stands alone."""
+    lo, n = 0, len(at) - 1
+    while lo < n:
+        hi = min(n, max(lo + 1, int(np.searchsorted(at, at[lo] + PIECE, side="right")) - 1))
+        yield lo, hi
+        lo = hi
+
+
+def _symbols(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of some texts in one array, each text led by two gaps and ended by one; where each begins."""
+    n, lens = len(at) - 1, np.diff(at)
+    codes = _CODES[data[at[0] : at[-1]]]
+    start = at[:-1] - at[0] + 3 * np.arange(n)
+    if n == 1:
+        s = np.concatenate([np.zeros(2, np.uint8), codes, np.zeros(1, np.uint8)])
+    else:
+        s = np.zeros(len(codes) + 3 * n, np.uint8)
+        s[np.arange(len(codes)) + np.repeat(3 * np.arange(n) + 2, lens)] = codes
+    stay = s != 0
+    stay[1:] |= s[:-1] != 0
+    stay[start] = stay[start + 1] = True
+    return s[stay], np.concatenate([[0], np.cumsum(np.add.reduceat(stay, start, dtype=np.int64))[:-1]])
+
+
+def _windows(s: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Piece by piece: the place of the first window's last symbol, history and last symbol of the windows of four, and
+    which of them lie within one text."""
+    for lo in range(3, len(s), PIECE):
+        hi = min(lo + PIECE, len(s))
+        a, b, c = (s[lo - k : hi - k].astype(np.int32) for k in (3, 2, 1))
+        own = np.ones(hi - lo, bool)
+        for k in range(3):
+            cut = start + k
+            own[cut[(cut >= lo) & (cut < hi)] - lo] = False
+        yield lo, (a * A + b) * A + c, s[lo:hi].astype(np.int32), own
 
 
 @dataclass
-class Model:
-    #: The difference of the classes' log-likelihoods down to a prefix, where it changes.
-    prefixes: dict[bytes, float]
-    coef: np.ndarray
-
-
-def words(text: str) -> set[bytes]:
-    """Distinct white-space words, A-Z lowered, without punctuation at either end, with the end mark."""
-    return {w.strip(b".,;:!?\"'()[]{}*#&$%|<>-_=+~`^@/\\") + END for w in text.encode().lower().split()} - {END}
-
-
-class Tree:
-    """The prefixes of a list of words, level by level."""
-
-    def __init__(self, vocab: list[bytes]) -> None:
-        table = np.array(vocab, f"S{DEPTH}")
-        chars = table.view("S1").reshape(len(table), DEPTH)
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # keys, parents, the words' nodes
-        node = np.zeros(len(table), np.int64)
-        for depth in range(1, DEPTH + 1):
-            alive = np.flatnonzero(node >= 0)
-            alive = alive[chars[alive, depth - 1] != b""]
-            if not len(alive):
-                break
-            keys, first, inverse = np.unique(table[alive].astype(f"S{depth}"), return_index=True, return_inverse=True)
-            parents = node[alive[first]]
-            node = np.full(len(table), -1, np.int64)
-            node[alive] = inverse
-            self.levels.append((keys, parents, node))
-        self.types = len(vocab)
-
-    def ratios(self, n: np.ndarray, discount: float) -> list[np.ndarray]:
-        """Level by level, the accumulated log-ratio of each node, for counts n (words x 2 classes)."""
-        up_n, up_t, up = n.sum(axis=0, keepdims=True).astype(float), np.array([float(self.types)]), np.zeros(1)
-        out = []
-        for keys, parents, node in self.levels:
-            held = node >= 0
-            own = np.stack([np.bincount(node[held], weights=n[held, c], minlength=len(keys)) for c in (0, 1)], axis=1)
-            t = np.bincount(node[held], minlength=len(keys)).astype(float)
-            s = t / up_t[parents]
-            logs = []
-            for c in (0, 1):
-                base = up_n[:, c]
-                left = np.bincount(parents, weights=np.minimum(own[:, c], discount), minlength=len(base))
-                # what ends in the parent has no child, so the mass is that of the children
-                total = np.bincount(parents, weights=own[:, c], minlength=len(base))
-                safe = np.maximum(total, 1e-9)[parents]
-                p = np.where(total[parents] > 0, np.maximum(own[:, c] - discount, 0) / safe + (left[parents] / safe) * s, s)
-                logs.append(np.log(p))
-            up = up[parents] + logs[1] - logs[0]
-            out.append(up)
-            up_n, up_t = own, t
-        return out
-
-    def of_words(self, ratios: list[np.ndarray]) -> np.ndarray:
-        """Each word's value: that of its deepest node."""
-        out = np.zeros(self.types)
-        for (_, _, node), r in zip(self.levels, ratios, strict=True):
-            held = node >= 0
-            out[held] = r[node[held]]
-        return out
-
-    def changes(self, ratios: list[np.ndarray], least: float = 0.02) -> dict[bytes, float]:
-        """The prefixes at which the value moves away from the last kept prefix above by ``least``."""
-        kept, above = {}, np.zeros(1)
-        for (keys, parents, _), r in zip(self.levels, ratios, strict=True):
-            last = above[parents]
-            moved = np.abs(r - last) > least
-            kept.update(zip(keys[moved].tolist(), r[moved].tolist(), strict=True))
-            above = np.where(moved, r, last)
-        return kept
-
-
-def _value(word: bytes, prefixes: dict[bytes, float]) -> float:
-    out = 0.0
-    for i in range(1, min(len(word), DEPTH) + 1):
-        out = prefixes.get(word[:i], out)
-    return out
-
-
-class _Values(dict):
-    """Values of words; forgets all when it has grown large."""
+class Counts:
+    """Distinct four-byte sequences (as numbers to base A) and their counts by fold and class."""
 
-    def __init__(self, prefixes: dict[bytes, float]) -> None:
-        self.prefixes = prefixes
+    grams: np.ndarray
+    n: np.ndarray  # grams x PARTS x 2
 
-    def __missing__(self, word: bytes) -> float:
-        if len(self) > 300_000:
-            self.clear()
-        v = self[word] = _value(word, self.prefixes)
-        return v
 
-
-def _features(values: np.ndarray) -> tuple[float, float, float, float]:
-    """The difference by length and by its root (the scale of its noise), and the mass of strong evidence by
-    the same root, each bounded."""
-    n = max(len(values), 1)
-    total, strong = float(values.sum()), float(values[values > STRONG].sum())
-    return 1.0, float(np.clip(total / n, -3, 3)), float(np.clip(total / np.sqrt(n), -6, 6)), float(np.clip(strong / np.sqrt(n) * 4, 0, 8))
+class Model:
+    """Log-ratios, times SCALE: of x after each known history of three, and of x after any two."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray, discount: float = DISCOUNT) -> None:
+        used = n.sum(axis=1) > 0
+        grams, n = grams[used], n[used].astype(float)
+        tri, tri_of = np.unique(grams % A**3, return_inverse=True)
+        n3 = np.stack([np.bincount(tri_of, weights=n[:, c], minlength=len(tri)) for c in (0, 1)], axis=1)
+        bi, bi_of = np.unique(tri % A**2, return_inverse=True)
+        types = np.bincount(bi_of, minlength=len(bi)).astype(float)
+        total = np.bincount(bi // A, weights=types, minlength=A)
+        shared = (types / total[bi // A])[bi_of]
+        p3, (hist2, left2) = self._order(tri // A, n3, np.stack([shared, shared], axis=1), discount)
+        self.low = np.zeros(A**3, np.int32)
+        self.low.reshape(A**2, A)[hist2] = left2[:, None]
+        self.low[tri] = self._fixed(p3)
+        p4, (hist3, left3) = self._order(grams // A, n, p3[tri_of], discount)
+        self.row = np.zeros(A**3, np.int32)
+        self.row[hist3] = np.arange(1, len(hist3) + 1)
+        high = np.zeros((len(hist3) + 1, A), np.int32)
+        high[1:] = left3[:, None] + self.low.reshape(A**2, A)[hist3 % A**2]
+        high[self.row[grams // A], grams % A] = self._fixed(p4)
+        self.high = high.reshape(-1)
+
+    @staticmethod
+    def _fixed(p: np.ndarray) -> np.ndarray:
+        return np.rint(np.log(p[:, 1] / p[:, 0]) * SCALE).astype(np.int32)
+
+    @classmethod
+    def _order(cls, history: np.ndarray, n: np.ndarray, lower: np.ndarray, discount: float) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Probabilities of sequences with these histories and counts in both classes; the distinct histories and the
+        log-ratio of the mass that each leaves to the lower order (1 where a class doesn't know the history)."""
+        known, of = np.unique(history, return_inverse=True)
+        mass = np.stack([np.bincount(of, weights=n[:, c]) for c in (0, 1)], axis=1)
+        freed = np.stack([np.bincount(of, weights=np.minimum(n[:, c], discount)) for c in (0, 1)], axis=1)
+        some = np.maximum(mass, 1e-9)
+        left = np.where(mass > 0, freed / some, 1.0)
+        return np.maximum(n - discount, 0) / some[of] + left[of] * lower, (known, cls._fixed(left))
+
+    def z(self, column: pa.Array) -> np.ndarray:
+        data, at = _bytes_of(column)
+        out = np.zeros(len(at) - 1)
+        for lo, hi in _groups(at):
+            s, start = _symbols(data, at[lo : hi + 1])
+            sums = np.zeros(hi - lo, np.int64)
+            for begin, history, x, own in _windows(s, start):
+                row = self.row[history]
+                v = np.where(row > 0, self.high[row * A + x], self.low[history % A**2 * A + x]).astype(np.int64)
+                v *= own
+                i, j = int(np.searchsorted(start, begin, side="right")) - 1, int(np.searchsorted(start, begin + len(x)))
+                sums[i:j] += np.add.reduceat(v, np.maximum(start[i:j], begin) - begin)
+            n = np.diff(np.append(start, len(s))) - 3
+            out[lo:hi] = sums / SCALE / np.sqrt(np.maximum(n, 1))
+        return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    w = np.zeros(x.shape[1])
-    for _ in range(50):
+def _logistic(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Offset and slope of the logistic map of z, by Newton's method."""
+    x, w = np.stack([np.ones(len(z)), z], axis=1), np.zeros(2)
+    loss = lambda w: float((weight * np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ w))).sum() + ridge / 2 * w @ w)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (weight * (p - y)) + ridge * w
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
-        step = np.linalg.solve(h, g)
-        w -= step
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(2), x.T @ (weight * (p - y)) + ridge * w)
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w - step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
 def _sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_ordinary: int) -> tuple[DataFrame, int, int]:
+    """y and text of the rows to learn from, and the number of labelled ids of either class."""
     known = labels.where(F.col("toxic").isin(0, 1) & (doc_hash_mod("doc_id", FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("y2")).where("y = y2").select("doc_id", F.col("y").cast("int").alias("y"))
     order = F.xxhash64("doc_id")
     ones, zeros = known.where("y = 1"), known.where("y = 0")
     picked = ones.orderBy(order, "doc_id").limit(max_toxic).unionByName(zeros.orderBy(order, "doc_id").limit(max_ordinary))
     # at most max_toxic + max_ordinary ids go out
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").select("y", "text")
     return rows, ones.count(), zeros.count()
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> Model | None:
-    """Fit on a sample of the labelled rows whose id's remainder isn't HELD_OUT. None without both classes."""
+def _folds(column: pa.Array) -> np.ndarray:
+    """A text and its copies fall into one fold."""
+    data, at = _bytes_of(column)
+    return np.array([zlib.crc32(data[a:b]) % PARTS for a, b in zip(at[:-1], at[1:], strict=True)], np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (y, text): counts of (fold, class, sequence)."""
+    for b in batches:
+        (data, at), cell = _bytes_of(b.column(1)), _folds(b.column(1)) * 2 + b.column(0).to_numpy()
+        for lo, hi in _groups(at):
+            s, start = _symbols(data, at[lo : hi + 1])
+            of = np.repeat(cell[lo:hi], np.diff(np.append(start, len(s))))
+            for begin, history, x, own in _windows(s, start):
+                key = (of[begin : begin + len(x)] * A**4 + history.astype(np.int64) * A + x)[own]
+                keys, n = np.unique(key, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+
+
+def counts(rows: DataFrame) -> Counts:
+    """Of rows (y, text). The table that reaches the driver holds distinct sequences of the sample only."""
+    found = rows.mapInArrow(_counted, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    key, n = found.column("key").to_numpy(), found.column("n").to_numpy()
+    grams, at = np.unique(key % A**4, return_inverse=True)
+    table = np.zeros((len(grams), PARTS, 2), np.int64)
+    table[at, key // A**4 // 2, key // A**4 % 2] = n
+    return Counts(grams, table)
+
+
+_models: dict[tuple, Model] = {}
+
+
+def _model(shared, fold: int | None) -> Model:
+    """The model of all folds, or of all but one; made once a worker."""
+    key = (shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) else id(shared.value), fold)
+    if key not in _models:
+        if len(_models) > PARTS:
+            _models.clear()
+        c: Counts = shared.value
+        _models[key] = Model(c.grams, c.n.sum(axis=1) - (0 if fold is None else c.n[:, fold]))
+    return _models[key]
+
+
+def _held_out(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Rows (y, text): y and the bin of z by the model of the other folds."""
+    for b in batches:
+        fold, z = _folds(b.column(1)), np.zeros(b.num_rows)
+        for k in range(PARTS):
+            here = np.flatnonzero(fold == k)
+            if len(here):
+                z[here] = _model(shared, k).z(b.column(1).take(pa.array(here)))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.rint(z * Z_BINS).astype(np.int64))], names=["y", "z"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> tuple[Counts, np.ndarray] | None:
+    """Counts of a sample of the labelled rows whose id's remainder isn't HELD_OUT, and the logistic map. None without
+    both classes."""
     rows, n1, n0 = _sample(docs, labels, max_toxic, max_ordinary)
     if not n1 or not n0:
         return None
-    data = sorted(((r[0], r[1], bytes(r[2])) for r in rows.mapInArrow(_tokenised, "doc_id bigint, y int, words binary").toLocalIterator()))
-    vocab: dict[bytes, int] = {}
-    ids = [np.fromiter((vocab.setdefault(w + END, len(vocab)) for w in joined.split(END)) if joined else (), np.int64) for _, _, joined in data]
-    y = np.array([x[1] for x in data])
-    if not vocab or y.min(initial=1) == y.max(initial=0):
+    rows = keep(rows, "labelled")
+    c = counts(rows)
+    by_fold = c.n.sum(axis=0)
+    if not ((by_fold.sum(axis=0) - by_fold) > 0).all():  # a fold's model needs both classes
         return None
-    # a text and its copies fall into one fold
-    fold = np.array([zlib.crc32(x[2]) % PARTS for x in data])
-    counts = np.zeros((PARTS, len(vocab), 2))
-    for i, k, label in zip(ids, fold, y, strict=True):
-        counts[k, i, label] += 1
-    tree = Tree(list(vocab))
-    weight = np.where(y == 1, n1 / max(y.sum(), 1), n0 / max((1 - y).sum(), 1)) / (n1 + n0) * len(y)
-    best = None
-    for discount in DISCOUNTS:
-        x = np.zeros((len(data), 4))
-        for k in range(PARTS):
-            value = tree.of_words(tree.ratios(counts.sum(axis=0) - counts[k], discount))
-            for i in np.flatnonzero(fold == k):
-                x[i] = _features(value[ids[i]])
-        coef = _logistic(x, y, weight)
-        p = np.clip(1 / (1 + np.exp(-np.clip(x @ coef, -30, 30))), 1e-9, 1 - 1e-9)
-        loss = float(-(weight * np.where(y == 1, np.log(p), np.log(1 - p))).sum())
-        if best is None or loss < best[0]:
-            best = loss, discount, coef
-    ratios = tree.ratios(counts.sum(axis=0), best[1])
-    return Model(tree.changes(ratios), best[2])
-
-
-def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        doc, text, y = (b.column(b.schema.get_field_index(c)) for c in ("doc_id", "text", "y"))
-        joined = [b"".join(sorted(words(t)))[:-1] for t in text.to_pylist()]
-        yield pa.RecordBatch.from_arrays([doc, y, pa.array(joined, pa.binary())], names=["doc_id", "y", "words"])
+    shared = rows.sparkSession.sparkContext.broadcast(c)
+    found = rows.mapInArrow(lambda it: _held_out(it, shared), "y int, z bigint").groupBy("y", "z").agg(F.count("*").alias("n")).toPandas()
+    z, y, n = found["z"].to_numpy() / Z_BINS, found["y"].to_numpy(), found["n"].to_numpy().astype(float)
+    n *= np.where(y == 1, n1 / n[y == 1].sum(), n0 / n[y == 0].sum()) * n.sum() / (n1 + n0)
+    return c, _logistic(z, y, n)
 
 
-def _scorer(model):
-    """A pandas UDF over texts, for a broadcast model (bounded by the training sample)."""
+def _scorer(shared, line: np.ndarray):
+    """A pandas UDF over texts, for broadcast counts (bounded by the training sample)."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m: Model = model.value
-        value = _Values(m.prefixes)
+        m = _model(shared, None)
         for texts in batches:
-            out = np.empty(len(texts))
-            for i, t in enumerate(texts):
-                distinct = words(t)
-                # sorted, so that the sum is the same wherever the text is scored
-                v = np.sort(np.fromiter(map(value.__getitem__, distinct), np.float64, len(distinct)))
-                z = float(np.dot(m.coef, _features(v)))
-                out[i] = 1 / (1 + np.exp(-max(-30.0, min(30.0, z))))
-            yield pd.Series(out)
+            z = m.z(pa.array(texts, pa.large_string()))
+            yield pd.Series(1 / (1 + np.exp(-np.clip(line[0] + line[1] * z, -30, 30))))
 
     return score
 
@@ -238,13 +282,14 @@ def with_score(docs: DataFrame, labels: DataFrame, column: str = "toxicity_score
     model = fit(docs, labels, **params)
     if model is None:
         return docs.withColumn(column, F.lit(0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.withColumn(column, _scorer(shared)(F.coalesce(docs["text"], F.lit(""))))
+    shared = docs.sparkSession.sparkContext.broadcast(model[0])
+    return docs.withColumn(column, _scorer(shared, model[1])(F.coalesce(docs["text"], F.lit(""))))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, reject: float = REJECT, **params) -> DataFrame:
     """The documents whose score is below ``reject``, with their columns."""
-    return with_score(docs, labels, "__toxicity", **params).where(F.col("__toxicity") < reject).select(*docs.columns)
+    whole = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("whole"))
+    return with_score(whole, labels, "score", **params).where(F.col("score") < reject).select("whole.*")
 
 
 def report(docs: DataFrame, labels: DataFrame, reject: float = REJECT, **params) -> DataFrame:
