@@ -5,7 +5,8 @@ protected entity *c*. Over the corpus, a term *t* that stands near *c* discloses
 
     PMI(c; t) = log2(N * n(c, t) / (n(c) * n(t)))      of at most      IC(c) = log2(N / n(c)),
 
-n counting documents. A term whose PMI reaches ``threshold`` of IC(c), seen in at least ``min_support``
+n counting documents, n(c, t) those in which t stands within ``CONTEXT_WORDS`` words and ``CONTEXT_CHARS`` characters of
+c, up to the next match of c's kind. A term whose PMI reaches ``threshold`` of IC(c), seen in at least ``min_support``
 different surroundings of c, is marked wherever it occurs; from ``remove_at`` on it is removed, below that it
 is generalised to a placeholder. Everything is DataFrame expressions.
 
@@ -36,9 +37,13 @@ PATTERNS = {
 TRIGGERS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
 SPAN = "struct<start:bigint,ord:int,kind:string,end:bigint,value:string>"
+#: A span with up to CONTEXT_CHARS + 1 characters on either side.
+WIDE = SPAN[:-1] + ",left:string,right:string>"
 CONTEXT_CHARS = 120
 CONTEXT_WORDS = 8
-MIN_SUPPORT = 5
+MIN_SUPPORT = 2
+#: Up to so many spans are placed in one pass; more are placed block by block, as each step copies the list so far.
+FEW = 64
 THRESHOLD = 0.8
 REMOVE_AT = 0.95
 
@@ -63,23 +68,46 @@ def _only_valid(kind: str, spans: Column) -> Column:
     return F.filter(spans, lambda s: _valid(kind, s["value"]))
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is made once, however often it is used in lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def located(text: Column, pattern: Column | str, hits: Column, kind: Column, order: int) -> Column:
-    """Spans of ``hits``, the matches of ``pattern``: the gaps between them give the positions."""
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(None).cast(f"array<{SPAN}>").alias("out"))
+    """Spans of ``hits``, the matches of ``pattern``: the gaps between them give the positions and the surroundings."""
+
+    def pairs(gaps: Column) -> Column:
+        return F.transform(hits, lambda h, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), h.alias("hit"), F.right(F.get(gaps, i), F.lit(CONTEXT_CHARS + 1)).alias("left"), F.left(F.get(gaps, i + 1), F.lit(CONTEXT_CHARS + 1)).alias("right")))
 
     def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
+        begin = acc["at"] + x["gap"]
         end = begin + F.length(x["hit"])
-        span = F.struct(begin.alias("start"), F.lit(order).alias("ord"), kind.alias("kind"), end.alias("end"), x["hit"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(F.coalesce(acc["out"], F.array().cast(f"array<{SPAN}>")), F.array(span)).alias("out"))
+        span = F.struct(begin.alias("start"), F.lit(order).alias("ord"), kind.alias("kind"), end.alias("end"), x["hit"].alias("value"), x["left"].alias("left"), x["right"].alias("right"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+    def run(p: Column, at: Column) -> Column:
+        start = F.struct(at.cast("bigint").alias("at"), _empty(WIDE).alias("out"))
+        return F.aggregate(p, start, add, lambda acc: acc["out"])
+
+    def block_by_block(p: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(p))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.size(p), size), lambda i: F.slice(p, i, size))
+        length = lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda n, x: n + x["gap"] + F.length(x["hit"]))
+        sized = F.transform(blocks, lambda b: F.struct(b.alias("rows"), length(b).alias("length")))
+        before = lambda s, i: F.aggregate(F.slice(s, F.lit(1), i), F.lit(0).cast("bigint"), lambda n, x: n + x["length"])
+        return _bound(sized, lambda s: F.flatten(F.transform(s, lambda b, i: run(b["rows"], before(s, i)))))
+
+    few = _bound(F.split(text, pattern, -1), pairs)
+    return F.when(F.size(hits) <= FEW, run(few, F.lit(0))).otherwise(_bound(few, block_by_block))
+
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(pairs, start, add, lambda acc: acc["out"])
+def _empty(kind: str = SPAN) -> Column:
+    return F.array().cast(f"array<{kind}>")
 
 
-def _empty() -> Column:
-    return F.array().cast(f"array<{SPAN}>")
+def _narrow(spans: Column) -> Column:
+    """Spans without their surroundings."""
+    return F.transform(spans, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "ord", "kind", "end", "value")]))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -93,10 +121,10 @@ def find(docs: DataFrame) -> DataFrame:
         d = d.withColumn(f"hits_{kind}", hits)
     for i, kind in enumerate(KINDS):
         spans = located(F.col("text"), PATTERNS[kind], F.col(f"hits_{kind}"), F.lit(kind), i)
-        d = d.withColumn(f"spans_{kind}", F.when(F.size(f"hits_{kind}") > 0, _only_valid(kind, spans)).otherwise(_empty()))
-    d = d.withColumn("base", F.array_sort(F.concat(*[f"spans_{k}" for k in KINDS])))
-    around = F.when(F.size("base") > 0, F.transform("base", lambda s: _window(F.col("text"), s)))
-    return d.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_key"), "base", around.alias("around"))
+        d = d.withColumn(f"spans_{kind}", F.when(F.size(f"hits_{kind}") > 0, _only_valid(kind, spans)).otherwise(_empty(WIDE)))
+    d = d.withColumn("wide", F.array_sort(F.concat(*[f"spans_{k}" for k in KINDS])))
+    around = F.when(F.size("wide") > 0, F.transform("wide", _window))
+    return d.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_key"), _narrow(F.col("wide")).alias("base"), around.alias("around"))
 
 
 def _plain(tokens: Column) -> Column:
@@ -105,13 +133,13 @@ def _plain(tokens: Column) -> Column:
     return F.transform(kept, lambda t: ascii_lower(F.regexp_extract(t, r"\p{L}{3,}", 0)))
 
 
-def _window(text: Column, s: Column) -> Column:
-    cut = F.least(s["start"], F.lit(CONTEXT_CHARS))
-    left = F.split(F.substr(text, (s["start"] - cut + 1).cast("int"), cut.cast("int")), r"[\x20\x09-\x0D]+")
-    left = F.when(s["start"] > CONTEXT_CHARS, F.slice(left, 2, F.greatest(F.size(left) - 1, F.lit(0)))).otherwise(left)
+def _window(s: Column) -> Column:
+    """Entity, hash of the surroundings and terms of a span; a word that the window cuts is left out."""
+    words = lambda c: F.split(c, r"[\x20\x09-\x0D]+")
+    left, right = words(s["left"]), words(s["right"])
+    left = F.when(F.length(s["left"]) > CONTEXT_CHARS, F.slice(left, 2, F.greatest(F.size(left) - 1, F.lit(0)))).otherwise(left)
     left = F.slice(left, F.greatest(F.size(left) - CONTEXT_WORDS, F.lit(0)) + 1, CONTEXT_WORDS)
-    right = F.split(F.substr(text, (s["end"] + 1).cast("int"), F.lit(CONTEXT_CHARS)), r"[\x20\x09-\x0D]+")
-    right = F.when(F.length(text) - s["end"] > CONTEXT_CHARS, F.slice(right, 1, F.greatest(F.size(right) - 1, F.lit(0)))).otherwise(right)
+    right = F.when(F.length(s["right"]) > CONTEXT_CHARS, F.slice(right, 1, F.greatest(F.size(right) - 1, F.lit(0)))).otherwise(right)
     right = F.slice(right, 1, CONTEXT_WORDS)
     value = F.when(s["kind"] == "email", ascii_lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(_digits(s["value"]))
     tokens = F.concat(left, right)
@@ -122,8 +150,9 @@ def _window(text: Column, s: Column) -> Column:
     )
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD, remove_at: float = REMOVE_AT) -> tuple[DataFrame, DataFrame]:
-    """(term, ratio, action) of the terms beyond the threshold, and the spans of these terms by text_key.
+def disclosing_terms(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD, remove_at: float = REMOVE_AT) -> tuple[DataFrame, DataFrame | None]:
+    """(term, ratio, action) of the terms beyond the threshold, and the spans of these terms by text_key (None if there
+    are none).
 
     ``found`` is find()'s table. Pairs come from windows of fixed width, so their number is linear in the spans.
     Of the terms near an entity only the counts are taken over the corpus; places are looked up for those that
@@ -140,6 +169,8 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, min_support: int = MIN_S
     n_near = near.groupBy("term").agg(F.count_distinct("row").alias("n_near"))
     pairs = pairs.join(n_entity.where(F.col("n_entity") < n), "entity").join(n_near, "term").where(ratio("n_near") >= threshold)
     pairs = keep(pairs, "pairs")
+    if not pairs.limit(1).count():  # nothing discloses, so the texts needn't be read again
+        return pairs.select("term", F.lit(0.0).alias("ratio"), F.lit("").alias("action")), None
     words = F.array_distinct(F.split(ascii_lower("text"), r"[^\p{L}]+"))
     text = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
     terms, _ = broadcast_if_small(pairs.select("term").distinct())
@@ -158,7 +189,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, min_support: int = MIN_S
     at = at.withColumn("low", ascii_lower("text"))
     at = at.withColumn("hits", F.regexp_extract_all("low", pattern, F.lit(0)))
     at = at.withColumn("s", located(F.col("low"), pattern, F.col("hits"), F.lit("term"), len(KINDS)))
-    return flagged, at.select("text_key", F.transform("s", lambda s: s.withField("value", F.col("action"))).alias("s"))
+    return flagged, at.select("text_key", F.transform(_narrow(F.col("s")), lambda s: s.withField("value", F.col("action"))).alias("s"))
 
 
 def spans(docs: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD, remove_at: float = REMOVE_AT) -> DataFrame:
@@ -166,6 +197,8 @@ def spans(docs: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = TH
     ``value`` holds the term's action there."""
     found = keep(find(docs), "found")
     _, at = disclosing_terms(docs, found, min_support, threshold, remove_at)
+    if at is None:
+        return found.select("doc_id", "text_key", "base", _empty().alias("terms"))
     by_text = at.groupBy("text_key").agg(F.flatten(F.collect_set("s")).alias("terms"))
     by_text = keep(by_text, "marked")
     out = found.select("doc_id", "text_key", "base").join(by_text, "text_key", "left")

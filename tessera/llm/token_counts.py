@@ -6,12 +6,15 @@ are left when each document is truncated to it. Only (length, count) pairs are s
 
 Defined cases: a null text counts as empty and has length 0; special-token strings in a text are ordinary text;
 copies and repeated rows count each time; an empty table gives an empty histogram; columns other than text are
-not looked at. A limit between two lengths of the histogram is answered by truncated().
+not looked at. A limit between two lengths of the histogram is answered by truncated(). Very long runs of white space are
+encoded apart from the rest, at the places where the split pattern parts them anyway, so lengths are those of the whole
+text.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,6 +27,10 @@ from tessera.llm.common import keep
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that goes with the vocabulary files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs of at least so many white-space characters are split off before the pattern is applied: matching ``\s+(?!\S)``
+#: takes stack in proportion to the run.
+LONG_SPACE = 1_000
+_SPACES = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_SPACE},}}")
 #: Lengths in one slice of the two-level suffix sums.
 SLICE = 256
 
@@ -40,6 +47,20 @@ def _encoder(ranks: bytes, pattern: str):
     return _encoders[key]
 
 
+def n_tokens(encoding, text: str) -> int:
+    """Length of ``text`` encoded whole. The pattern takes all of a white-space run but its last character as one piece,
+    or all of it at the end of the text, so a run's piece is encoded alone and the last character goes on with the rest."""
+    if not (m := _SPACES.search(text)):
+        return len(encoding.encode_ordinary(text))
+    total, at = 0, 0
+    while m:
+        total += len(encoding.encode_ordinary(text[at : m.start()]))
+        at = m.end() if m.end() == len(text) else m.end() - 1
+        total += len(encoding._encode_single_piece(text[m.start() : at]))
+        m = _SPACES.search(text, m.end())
+    return total + len(encoding.encode_ordinary(text[at:]))
+
+
 def with_length(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
     """n_tokens of every row (one column). The vocabulary file is read on the driver and sent out; its size is
     fixed, whatever the corpus."""
@@ -48,9 +69,9 @@ def with_length(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATT
 
     @F.pandas_udf("bigint")
     def length(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = _encoder(shared.value, pattern).encode_ordinary
+        encoding = _encoder(shared.value, pattern)
         for texts in batches:
-            yield pd.Series([len(encode(t)) for t in texts], dtype="int64")
+            yield pd.Series([n_tokens(encoding, t) for t in texts], dtype="int64")
 
     return docs.select(length(F.coalesce("text", F.lit(""))).alias("n_tokens"))
 
