@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,10 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: Tables of at most so many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 50_000
+#: Bits a member and most bits of a membership filter; beyond that it lets more rows through, never fewer.
+FILTER_BITS, FILTER_MOST, FILTER_HASHES = 12, 1 << 28, 3
+#: Stands for a null doc_id.
+NO_ID = -(2**63)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,9 +32,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test) gets a folder of its own."""
+    Only a session on one machine without that setting (a test) gets a folder of its own; on a cluster each executor
+    would write to its own disk and a later read miss those files, so that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         path = tempfile.mkdtemp(prefix="tessera-")
@@ -37,15 +47,64 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back.
+    """Write ``df`` to the shared folder as Parquet and read it back; the table goes when the application ends.
 
     This cuts the lineage as a checkpoint does, survives lost executors, and stores columns compactly."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """whole (a struct of all columns, so that no name clashes), doc and th, the hash of the text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("th"))
+
+
+def membership(members: DataFrame, *cols: str) -> Callable[..., Column]:
+    """A test of rows that is true for every member and false for most others: a Bloom filter over ``cols``, of a size
+    that follows the members up to FILTER_MOST bits. It is put together on the executors; rows that it turns away
+    needn't be shuffled to meet the members."""
+    n = members.count()
+    bits = min(FILTER_MOST, 1 << max(16, (n * FILTER_BITS).bit_length()))
+
+    def places(of: tuple[Column, ...]) -> list[Column]:
+        return [F.pmod(F.xxhash64(*of, F.lit(i)), F.lit(bits)) for i in range(FILTER_HASHES)]
+
+    at = members.select(F.explode(F.array(*places(tuple(F.col(c) for c in cols)))).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("set")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[words.column("word").to_numpy()] = words.column("set").to_numpy()
+    shared = members.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def among(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        out = np.ones(len(a), bool)
+        for at in (a, b, c):
+            x = at.to_numpy()
+            out &= (shared.value[x >> 6] >> (x & 63)) & 1 != 0
+        return pd.Series(out)
+
+    return lambda *of: among(*places(of))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` with all its columns, but for the rows whose doc and th (see identified()) are in ``gone``. If ``gone``
+    isn't small, only rows that may be in it are shuffled."""
+    gone = keep(gone.select("doc", "th").distinct(), "gone")
+    side, small = broadcast_if_small(gone, 200_000)
+    rows = identified(docs)
+    if small:
+        return rows.join(side, ["doc", "th"], "left_anti").select("whole.*")
+    among = membership(gone, "doc", "th")
+    rows = rows.withColumn("maybe", among(F.col("doc"), F.col("th")))
+    met = rows.where("maybe").join(side, ["doc", "th"], "left_anti")
+    return rows.where("not maybe").select("whole.*").unionByName(met.select("whole.*"))
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """``df`` with a broadcast hint if it is proven to have at most ``rows`` rows, else unhinted."""
     small = df.limit(rows + 1).count() <= rows

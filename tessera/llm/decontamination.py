@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE_CHARS, SPACE_CLASS, broadcast_if_small, keep
+from tessera.llm.common import NO_ID, SPACE_CHARS, SPACE_CLASS, broadcast_if_small, keep, without
 
 WINDOW = 5
 LITERALS = 2
@@ -179,8 +179,5 @@ def report(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """``docs`` with all its columns, without those in which an item is found."""
-    no_id = F.lit(-(2**63))
-    gone = found(docs, benchmark, **params).select(F.coalesce("doc_id", no_id).alias("__doc"), F.col("th").alias("__th")).distinct()
-    side, _ = broadcast_if_small(keep(gone, "gone"), 200_000)
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("bigint"), no_id), "__th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return keyed.join(side, ["__doc", "__th"], "left_anti").select(*docs.columns)
+    gone = found(docs, benchmark, **params)
+    return without(docs, gone.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), "th"))

@@ -5,7 +5,8 @@ range-partitioned by (hash, document) and sorted with the largest document first
 third of all documents hold is spread over many tasks. A stream over a partition keeps the first document of a
 run and drops the others once ``min_docs`` documents are seen. Only what a partition boundary leaves open (its
 first run, and a last run still short of ``min_docs``) is settled from sums over those runs. The result is a
-compressed bitmap of kept lines for each document that loses some; texts don't move for it.
+compressed bitmap of kept lines for each document that loses some. Only texts that lose lines are moved to meet their
+bitmaps (and about one in a hundred others, which the membership filter lets through).
 
 Defined cases: a null or empty text is one empty line; rows without a doc_id count together as one document,
 smaller than all others; rows that share a doc_id count as one document for a key, and each row has its own
@@ -26,11 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE_CHARS, keep
+from tessera.llm.common import NO_ID, SPACE_CHARS, identified, keep, membership
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-NO_ID = -(2**63)
 ROW = "k1 bigint, k2 bigint, doc bigint, th bigint, n_lines int, pos binary"
 DECISION = f"kind int, {ROW}, n_docs bigint"
 
@@ -155,20 +155,20 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     return by_doc.select("doc", "th", "n_lines", F.pandas_udf(_bitmap, "struct<n_dropped:bigint,kept:binary>")("n_lines", "pos").alias("b")).select("doc", "th", "n_lines", "b.n_dropped", "b.kept")
 
 
-def _with_bitmaps(keyed: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Texts and bitmaps meet by a sort-merge join at every size, as the bitmaps grow with the texts. The bitmaps are
-    written first, so that a task never holds Python workers for both steps."""
+def _with_bitmaps(rows: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """``rows`` (with doc and th) with n_dropped and kept, null where nothing is dropped. Rows that may have a bitmap
+    meet theirs by a sort-merge join at every size, the others pass. The bitmaps are written first, so that a task never
+    holds Python workers for both steps."""
     bitmaps = keep(bitmaps.select("doc", "th", "n_dropped", "kept"), "bitmaps")
-    return keyed.join(bitmaps.hint("merge"), ["doc", "th"], "left")
+    rows = rows.withColumn("maybe", membership(bitmaps, "doc", "th")(F.col("doc"), F.col("th")))
+    met = rows.where("maybe").join(bitmaps.hint("merge"), ["doc", "th"], "left")
+    apart = rows.where("not maybe").withColumns({"n_dropped": F.lit(None).cast("bigint"), "kept": F.lit(None).cast("binary")})
+    return met.unionByName(apart)
 
 
 def deduplicated(docs: DataFrame, **params) -> DataFrame:
     """``docs`` with all its columns; text without the dropped lines (a text that loses none is unchanged)."""
-    bitmaps = keep_bitmaps(docs, **params)
-    whole = docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", "text")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = whole.select("whole", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("th"))
-    j = _with_bitmaps(keyed, bitmaps)
+    j = _with_bitmaps(identified(docs), keep_bitmaps(docs, **params))
     j = j.withColumn("new", F.pandas_udf(_kept_text, "string")(F.when(F.col("kept").isNotNull(), F.col("whole.text")), F.col("kept")))
     return j.select(*[F.when(F.col("kept").isNull(), F.col("whole.text")).otherwise(F.col("new")).alias(c) if c == "text" else F.col("whole").getField(c).alias(c) for c in docs.columns])
 

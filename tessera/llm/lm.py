@@ -10,12 +10,14 @@ c(h) - 1. EM runs on a histogram of these ratios over all training tokens, of bo
 Texts are first written as blocks of integers: a block holds its distinct words' hashes and the words by local
 number. A block then sends its distinct words and bigrams with their training counts, sorted by hash and cut
 into parts; a part's task adds up the counts of all blocks and answers each block in its own order. So a word or
-pair crosses the network once a block however frequent it is, and no count table is held whole anywhere.
+pair crosses the network once a block however frequent it is, and no count table is held whole anywhere. There are as
+many parts as the corpus has ``PART_TOKENS`` tokens, so a part's task stays the same size however large the corpus.
 
 Defined cases: a null text counts as empty; an empty text is the end token alone; a null doc_id belongs to the
 remainder of the empty text's crc32; copies and repeated rows count each time; without training documents N and V
 are 0 and every score is that of the uniform part; an empty table gives an empty result; columns other than doc_id
-and text are not looked at. Words are told apart by 64-bit hashes, pairs by 48 bits within a part.
+and text are not looked at. Words are told apart by 64-bit hashes, pairs by their part and 48 bits: of the at most
+PART_TOKENS pairs of a part, about one in 10^8 shares its bits with another.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from tessera.llm.common import doc_hash_mod, keep
 
 HELD_OUT, FOLDS = 1, 5
 BLOCK_TOKENS = 700_000
+PART_TOKENS = 2_500_000
 END = np.uint64(0x9AE16A3B2F90404F)
 START = np.uint64(0xC3A5C85C97CB3127)
 BUCKETS = 24
@@ -41,7 +44,7 @@ BUCKETS = 24
 PER_UNIT, FLOOR = 4, 40
 BINS = PER_UNIT * FLOOR + 2
 
-BLOCK = "block bigint, doc_ids array<bigint>, train binary, lens binary, vocab binary, toks binary"
+BLOCK = "block bigint, n bigint, doc_ids array<bigint>, train binary, lens binary, vocab binary, toks binary"
 REQUEST = "part int, block bigint, kind int, keys binary, counts binary"
 ANSWER = "block bigint, part int, kind int, counts binary, n_tokens bigint, n_types bigint"
 
@@ -79,12 +82,12 @@ def _encoded(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[p
         order = np.argsort(-counts, kind="stable")  # frequent words get small numbers, which pack better
         number = np.empty(len(order), np.int32)
         number[order] = np.arange(len(order), dtype=np.int32)
-        row = [[serial], [list(doc_ids)], [np.array(train, np.uint8).tobytes()], [_pack(lens)], [vocab[order].tobytes()], [_pack(number[local])]]
+        row = [[serial], [int(lens.sum())], [list(doc_ids)], [np.array(train, np.uint8).tobytes()], [_pack(lens)], [vocab[order].tobytes()], [_pack(number[local])]]
         serial += 1
         doc_ids.clear(), train.clear(), hashes.clear()
         held = 0
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], names=["block", "doc_ids", "train", "lens", "vocab", "toks"])
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], names=["block", "n", "doc_ids", "train", "lens", "vocab", "toks"])
 
     for b in batches:
         for doc_id, is_train, text in _rows(b, ("doc_id", "train", "text")):
@@ -262,13 +265,14 @@ def _scores(batches: Iterator[pa.RecordBatch], n: int, types: int, n_train_docs:
 
 def report(docs: DataFrame, parts: int | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    spark = docs.sparkSession
-    parts = parts or max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
     is_train = doc_hash_mod("doc_id", FOLDS) != HELD_OUT
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), is_train.alias("train"), F.coalesce("text", F.lit("")).alias("text"))
     blocks = keep(rows.mapInArrow(lambda it: _encoded(it, block_tokens), BLOCK), "blocks")
+    if not parts:
+        n = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+        parts = max(1, -(-n // PART_TOKENS))
     requests = blocks.select("block", "train", "lens", "vocab", "toks").mapInArrow(lambda it: _requests(it, parts), REQUEST)
-    answers = keep(requests.groupBy("part").applyInPandas(_answers, ANSWER), "answers")
+    answers = keep(requests.repartition(parts, "part").groupBy("part").applyInPandas(_answers, ANSWER), "answers")
     totals = answers.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_types"), F.lit(0)).alias("v")).first()
     n, types = totals["n"], totals["v"]
     n_docs = rows.where("train").count()

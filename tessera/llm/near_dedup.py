@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small, keep
+from tessera.llm.common import NO_ID, broadcast_if_small, identified, keep, membership, without
 
 SHINGLE = 5
 ROWS = 5
@@ -267,18 +267,20 @@ def _confirmed(batches: Iterator[pa.RecordBatch], limit: Threshold) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
 
-def texts_of(involved: DataFrame, sketched: DataFrame, docs: DataFrame) -> DataFrame:
-    """One text of each class of ``involved`` (fp); texts of other classes aren't moved."""
-    sample = keep(sketched.where(F.col("fp").isNotNull()).join(involved, "fp", "left_semi").groupBy("fp").agg(F.min("th").alias("th")), "involved")
-    side, _ = broadcast_if_small(sample)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.xxhash64(text).alias("th"), text.alias("text")).join(side, "th").groupBy("fp").agg(F.max("text").alias("text"))
+def texts_of(involved: DataFrame, one: DataFrame, docs: DataFrame) -> DataFrame:
+    """fp and the text of each class of ``involved`` (fp), that of its first row; no other text is moved."""
+    sample = keep(one.join(involved, "fp", "left_semi").select("fp", F.coalesce("first.doc_id", F.lit(NO_ID)).alias("doc"), "first.th"), "involved")
+    side, small = broadcast_if_small(sample)
+    rows = identified(docs).select("doc", "th", F.coalesce("whole.text", F.lit("")).alias("text"))
+    if not small:
+        rows = rows.where(membership(sample, "doc", "th")(F.col("doc"), F.col("th")))
+    return rows.join(side, ["doc", "th"]).groupBy("fp").agg(F.max("text").alias("text"))
 
 
-def confirm(pairs: DataFrame, sketched: DataFrame, docs: DataFrame, limit: Threshold) -> DataFrame:
+def confirm(pairs: DataFrame, one: DataFrame, docs: DataFrame, limit: Threshold) -> DataFrame:
     """The pairs (a, b) of classes that are links."""
     involved = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    texts = keep(texts_of(involved, sketched, docs), "texts")
+    texts = keep(texts_of(involved, one, docs), "texts")
     return (
         pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a")
         .join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
@@ -287,18 +289,21 @@ def confirm(pairs: DataFrame, sketched: DataFrame, docs: DataFrame, limit: Thres
     )
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, comp (its component's smallest node) for every node of ``links`` (a, b).
+def components(links: DataFrame, one: DataFrame) -> DataFrame:
+    """node and comp for every node of ``links`` (a, b); comp is the first row of the component's classes with its
+    class, so a component's smallest doc_id comes with the label and no component has to be gathered.
 
     Labels spread to the smallest neighbour's and then to the label's own label, so the number of rounds grows
     with the logarithm of a component's diameter. Every round is written to the shared folder."""
     both = keep(links.union(links.select("b", "a")).toDF("node", "other").distinct(), "edges")
-    labels = keep(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
+    own = F.struct("first.no_id", "first.doc_id", "fp").alias("comp")
+    labels = keep(one.select(F.col("fp").alias("node"), own).join(both.select("node").distinct(), "node"), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), "comp"), "other").groupBy("node").agg(F.min("comp").alias("m"))
         step = labels.join(near, "node").select("node", F.least("comp", "m").alias("comp"), F.col("comp").alias("old"))
-        up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        step = keep(step.join(up, "comp").select("node", F.least("comp", "up").alias("comp"), "old"), "labels")
+        step = step.withColumn("at", F.col("comp.fp"))
+        up = labels.select(F.col("node").alias("at"), F.col("comp").alias("up"))
+        step = keep(step.join(up, "at").select("node", F.least("comp", "up").alias("comp"), "old"), "labels")
         labels = step.select("node", "comp")
         if not step.where("comp <> old").limit(1).count():
             return labels
@@ -310,41 +315,43 @@ def _by_text(docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, limit: Threshold = CONTRACT) -> DataFrame:
-    """doc_id, n_shingles, fp (the set's class), comp (its component's representative class) of every row."""
+    """doc_id, th, n_shingles, fp (the set's class) and smallest (the component's smallest doc_id) of every row."""
     sketched = _by_text(docs).mapInArrow(lambda batches: _sketched(batches, limit), "id struct<doc_id:bigint,th:bigint>, n_shingles bigint, fp binary, bands array<bigint>, short binary")
     sketched = keep(sketched.select("id.doc_id", "id.th", "n_shingles", "fp", "bands", "short"), "sketched")
     # a set's bands follow from it, so any row of the class serves
-    one = keep(sketched.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min(F.struct("bands", "short")).alias("s")).select("fp", "s.*"), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first")
+    one = keep(sketched.where(F.col("fp").isNotNull()).groupBy("fp").agg(first, F.min(F.struct("bands", "short")).alias("s")).select("fp", "first", "s.*"), "classes")
     # the sketches join only those buckets that hold more than one class
     bands = one.select(F.posexplode("bands").alias("number", "band"), "fp")
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     buckets = keep(bands.join(shared, "band").join(one.select("fp", "short"), "fp").select("number", "band", "fp", "short"), "buckets")
     ordered = buckets.repartitionByRange("band").sortWithinPartitions("band", "fp")
     tried = keep(ordered.select("band", "fp", "short").mapInArrow(lambda batches: _propose(batches, limit), "a binary, b binary").distinct(), "tried")
-    links = keep(confirm(tried, sketched, docs, limit), "links")
-    labels = components(links)
-    labelled = buckets.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("band", "fp", "short", F.coalesce("comp", "fp").alias("comp"), "number")
+    links = keep(confirm(tried, one, docs, limit), "links")
+    labels = components(links, one)
+    labelled = buckets.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("band", "fp", "short", F.coalesce("comp.fp", "fp").alias("comp"), "number")
     mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
     again = keep(labelled.join(mixed, "band"), "again")
     # the longer sketch is made only for classes that the short one can't tell from one of another component
     near = again.repartitionByRange("band").sortWithinPartitions("band", "fp").select("band", "fp", "short", "comp", "number").mapInArrow(lambda batches: _candidates(batches, limit), "fp binary")
-    long = keep(texts_of(near.distinct(), sketched, docs).mapInArrow(_long, "fp binary, long binary"), "long")
+    long = keep(texts_of(near.distinct(), one, docs).mapInArrow(_long, "fp binary, long binary"), "long")
     again = again.join(long, "fp").repartitionByRange("band").sortWithinPartitions("band", "fp")
     more = again.select("band", "fp", "short", "comp", "number", "long").mapInArrow(lambda batches: _across(batches, limit), "a binary, b binary")
     more = keep(more.join(tried, ["a", "b"], "left_anti"), "more")
-    more_links = keep(confirm(more, sketched, docs, limit), "more-links")
+    more_links = keep(confirm(more, one, docs, limit), "more-links")
     if more_links.limit(1).count():
-        labels = components(links.union(more_links))
-    return sketched.select("doc_id", "th", "n_shingles", "fp").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "th", "n_shingles", "fp", F.coalesce("comp", "fp").alias("comp"))
+        labels = components(links.union(more_links), one)
+    verdict = keep(one.select("fp", "first").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.when(F.col("comp").isNull(), F.col("first.doc_id")).otherwise(F.col("comp.doc_id")).alias("smallest")), "verdicts")
+    # rows without a set don't meet anything; copies of one text are the skew that the join of plain tables can split
+    rows = sketched.select("doc_id", "th", "n_shingles", "fp")
+    alone = rows.where(F.col("fp").isNull()).withColumn("smallest", F.col("doc_id"))
+    return rows.where(F.col("fp").isNotNull()).join(verdict, "fp").select(*alone.columns).unionByName(alone)
 
 
 def verdicts(docs: DataFrame, limit: Threshold = CONTRACT) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, component_id and kept of every row."""
-    c = keep(classes(docs, limit), "comps")
-    smallest = c.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("doc_id").alias("smallest"))
-    out = c.join(smallest, "comp", "left")
-    component = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
-    return out.select("doc_id", "th", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(F.col("smallest")).alias("kept")
+    return classes(docs, limit).select("doc_id", "th", "n_shingles", F.col("smallest").alias("component_id"), kept)
 
 
 def report(docs: DataFrame, limit: Threshold = CONTRACT) -> DataFrame:
@@ -354,8 +361,5 @@ def report(docs: DataFrame, limit: Threshold = CONTRACT) -> DataFrame:
 
 def kept_documents(docs: DataFrame, limit: Threshold = CONTRACT) -> DataFrame:
     """``docs`` with all its columns, one document of each component: its smallest doc_id."""
-    no_id = F.lit(-(2**63))
-    gone = verdicts(docs, limit).where(~F.col("kept")).select(F.coalesce("doc_id", no_id).alias("__doc"), F.col("th").alias("__th")).distinct()
-    side, _ = broadcast_if_small(keep(gone, "gone"), 200_000)
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("bigint"), no_id), "__th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return keyed.join(side, ["__doc", "__th"], "left_anti").select(*docs.columns)
+    gone = verdicts(docs, limit).where(~F.col("kept"))
+    return without(docs, gone.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "th"))

@@ -9,7 +9,9 @@ character counts as one gap. For each class c (toxic, ordinary), n_c counts sequ
 
 where g_c is the mass that the discount D frees, and T(cx) counts the distinct bytes before cx in either class. This
 back-off is shared: a rare expression without evidence in either class takes the same value in both and cancels, and
-one known to a class only by its parts takes the value of the parts. The difference of the classes' log-likelihoods
+one known to a class only by its parts takes the value of the parts. What neither class has seen after a history
+takes the ratio of the lower order alone, as the freed masses tell how much text of a class was read, not what it is
+like; so unknown text counts for neither class. The difference of the classes' log-likelihoods
 of a text, divided by the root of its length (the scale of its noise), is z; a logistic map of z alone, fitted on
 documents scored by models that didn't see them, gives 0 to 1.
 
@@ -122,15 +124,15 @@ class Model:
         types = np.bincount(bi_of, minlength=len(bi)).astype(float)
         total = np.bincount(bi // A, weights=types, minlength=A)
         shared = (types / total[bi // A])[bi_of]
-        p3, (hist2, left2) = self._order(tri // A, n3, np.stack([shared, shared], axis=1), discount)
+        p3 = self._order(tri // A, n3, np.stack([shared, shared], axis=1), discount)
         self.low = np.zeros(A**3, np.int32)
-        self.low.reshape(A**2, A)[hist2] = left2[:, None]
         self.low[tri] = self._fixed(p3)
-        p4, (hist3, left3) = self._order(grams // A, n, p3[tri_of], discount)
+        p4 = self._order(grams // A, n, p3[tri_of], discount)
+        known = np.unique(grams // A)
         self.row = np.zeros(A**3, np.int32)
-        self.row[hist3] = np.arange(1, len(hist3) + 1)
-        high = np.zeros((len(hist3) + 1, A), np.int32)
-        high[1:] = left3[:, None] + self.low.reshape(A**2, A)[hist3 % A**2]
+        self.row[known] = np.arange(1, len(known) + 1)
+        high = np.zeros((len(known) + 1, A), np.int32)
+        high[1:] = self.low.reshape(A**2, A)[known % A**2]
         high[self.row[grams // A], grams % A] = self._fixed(p4)
         self.high = high.reshape(-1)
 
@@ -138,16 +140,13 @@ class Model:
     def _fixed(p: np.ndarray) -> np.ndarray:
         return np.rint(np.log(p[:, 1] / p[:, 0]) * SCALE).astype(np.int32)
 
-    @classmethod
-    def _order(cls, history: np.ndarray, n: np.ndarray, lower: np.ndarray, discount: float) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-        """Probabilities of sequences with these histories and counts in both classes; the distinct histories and the
-        log-ratio of the mass that each leaves to the lower order (1 where a class doesn't know the history)."""
-        known, of = np.unique(history, return_inverse=True)
-        mass = np.stack([np.bincount(of, weights=n[:, c]) for c in (0, 1)], axis=1)
-        freed = np.stack([np.bincount(of, weights=np.minimum(n[:, c], discount)) for c in (0, 1)], axis=1)
-        some = np.maximum(mass, 1e-9)
-        left = np.where(mass > 0, freed / some, 1.0)
-        return np.maximum(n - discount, 0) / some[of] + left[of] * lower, (known, cls._fixed(left))
+    @staticmethod
+    def _order(history: np.ndarray, n: np.ndarray, lower: np.ndarray, discount: float) -> np.ndarray:
+        """Probabilities in both classes of sequences with these histories, counts and lower-order probabilities."""
+        _, of = np.unique(history, return_inverse=True)
+        mass = np.stack([np.bincount(of, weights=n[:, c]) for c in (0, 1)], axis=1)[of]
+        freed = np.stack([np.bincount(of, weights=np.minimum(n[:, c], discount)) for c in (0, 1)], axis=1)[of]
+        return np.where(mass > 0, (np.maximum(n - discount, 0) + freed * lower) / np.maximum(mass, 1e-9), lower)
 
     def z(self, column: pa.Array) -> np.ndarray:
         data, at = _bytes_of(column)
