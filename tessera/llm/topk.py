@@ -5,7 +5,8 @@ query q, term j can add at most max(q_j * hi_j, q_j * lo_j) to a score, hi and l
 weights. Terms are ordered by that bound. Those whose bounds together can't lift a document above the current
 k-th score are non-essential: the postings of the other, essential terms are traversed, and only documents whose
 partial score plus the open bounds still competes are probed in the non-essential terms, in steps that drop those
-that fall behind. Shards are merged by (score, id). Bounds are exact integers, so the result is exact.
+that fall behind. A partition's first ``SEED`` documents are scored whole and give the first k-th score, so every later
+shard starts with one. Shards are merged by (score, id). Bounds are exact integers, so the result is exact.
 
 Queries go out in blocks of at most ``QUERY_BLOCK`` broadcast vectors; each block passes over all rows.
 
@@ -13,7 +14,8 @@ Defined cases: a vector that is null or holds a null or non-finite component tak
 no part as queries and candidates, having none to return; vectors of unequal length are compared over the common
 components; rows of the same id are one another's "own" row and never each other's candidates, and each
 repeated row counts as a candidate; ties go to the smaller id; fewer than k candidates give fewer rows; an empty
-table gives an empty result; columns other than the two named are not looked at.
+table gives an empty result; weights or scores that 64 bits can't hold are an error; columns other than the two named
+are not looked at.
 """
 
 from __future__ import annotations
@@ -31,7 +33,11 @@ from tessera.llm.common import keep
 K = 5
 EVERY = 50
 QUERY_BLOCK = 16_384
-SHARD = 8_192
+SHARD = 2_048
+#: Rows of a partition that are scored without a k-th score to beat.
+SEED = 256
+#: Least magnitude that is an error.
+TOO_LARGE = 2.0**62
 STEP = 8
 HITS = "query_id bigint, vec_id bigint, score bigint"
 
@@ -39,8 +45,9 @@ HITS = "query_id bigint, vec_id bigint, score bigint"
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id and w, the integer weights, of the vectors that take part."""
     v = F.col(vector_col).cast("array<double>")
+    weight = lambda x: F.when(F.abs(x) * 256 < TOO_LARGE, F.floor(x * 256).cast("bigint")).otherwise(F.raise_error(F.lit("a component is too large for a 64-bit weight")).cast("bigint"))
     sound = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.where(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("bigint").alias("vec_id"), F.transform(v, lambda x: F.floor(x * 256).cast("bigint")).alias("w"))
+    return vectors.where(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("bigint").alias("vec_id"), F.transform(v, weight).alias("w"))
 
 
 def _matrix(rows: list[list[int]], width: int) -> np.ndarray:
@@ -58,9 +65,13 @@ class Shard:
         self.ids, self.w = ids[order], np.asfortranarray(weights[order])
         self.lo = np.minimum(self.w.min(axis=0, initial=0), 0)
         self.hi = np.maximum(self.w.max(axis=0, initial=0), 0)
+        self.largest = np.maximum(self.hi.astype(float), -self.lo.astype(float))
+        self.probed = self.held = 0  # postings that searches read, and that there are
 
     def search(self, query_id: int, q: np.ndarray, k: int, floor: int | None) -> list[tuple[int, int]]:
         """The k best (score, id) of at least ``floor``, the k-th score found elsewhere."""
+        if np.abs(q.astype(float)) @ self.largest >= TOO_LARGE:
+            raise OverflowError("a score could be too large for 64 bits")
         bound = np.maximum(q * self.lo, q * self.hi)
         order = np.argsort(-bound, kind="stable")
         open_after = np.append(np.cumsum(bound[order][::-1])[::-1], 0)  # what the terms from a place on can add
@@ -70,6 +81,8 @@ class Shard:
         essential = min(max(essential, 1), len(q))
         terms = order[:essential]
         score = (self.w[:, terms] @ q[terms])[alive]
+        self.held += self.w.size
+        self.probed += len(self.ids) * len(terms)
         at = essential
         while True:
             if len(score) > k:
@@ -86,6 +99,7 @@ class Shard:
                 break
             terms = order[at : at + STEP]
             score = score + self.w[np.ix_(alive, terms)] @ q[terms]
+            self.probed += len(alive) * len(terms)
             at += len(terms)
         best = np.lexsort((self.ids[alive], -score))[:k]
         return [(int(score[i]), int(self.ids[alive[i]])) for i in best]
@@ -97,6 +111,7 @@ def _searched(batches: Iterator[pa.RecordBatch], queries, k: int) -> Iterator[pa
     best: list[list[tuple[int, int]]] = [[] for _ in query_ids]
     ids: list[int] = []
     rows: list[list[int]] = []
+    limit = SEED
 
     def flush() -> None:
         if not ids:
@@ -111,8 +126,9 @@ def _searched(batches: Iterator[pa.RecordBatch], queries, k: int) -> Iterator[pa
     for b in batches:
         for vec_id, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             ids.append(vec_id), rows.append(w)
-            if len(ids) >= SHARD:
+            if len(ids) >= limit:
                 flush()
+                limit = SHARD
     flush()
     flat = [(int(qid), v, s) for qid, hits in zip(query_ids, best, strict=True) for s, v in hits]
     if flat:
