@@ -408,7 +408,7 @@ class _Maker:
             t = self.words(1, r.choice((2, 5)), r.choice((".", "", "!"))) if r.random() < 0.25 else self.words(4, r.choice((12, 40, 120)), r.choice((".", ".", ".", "!", "", ":")))
         self.wanted.append(t)
         first, _, rest = t.partition(" ")
-        marked = r.choice((t, f"<b>{first}</b> {rest}", f"{first} <a href='/in'>{rest}</a>" if len(rest) < 40 else t, f"<em>{t}</em>"))
+        marked = r.choice((t, f"<b>{first}</b> {rest}", f"<a href='/in'>{first}</a> {rest}", f"{first} <a href='/in'>{rest}</a>" if len(rest) < 40 else t, f"<em>{t}</em>"))
         if kind == "link":
             return f"<p><a href='/full'>{t}</a></p>"
         if kind == "open":
