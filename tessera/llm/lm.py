@@ -272,7 +272,7 @@ def report(docs: DataFrame, parts: int | None = None, block_tokens: int = BLOCK_
         n = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
         parts = max(1, -(-n // PART_TOKENS))
     requests = blocks.select("block", "train", "lens", "vocab", "toks").mapInArrow(lambda it: _requests(it, parts), REQUEST)
-    answers = keep(requests.repartition(parts, "part").groupBy("part").applyInPandas(_answers, ANSWER), "answers")
+    answers = keep(requests.repartitionById(parts, F.col("part")).groupBy("part").applyInPandas(_answers, ANSWER), "answers")
     totals = answers.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_types"), F.lit(0)).alias("v")).first()
     n, types = totals["n"], totals["v"]
     n_docs = rows.where("train").count()
