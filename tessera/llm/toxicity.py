@@ -129,7 +129,7 @@ class Model:
         self.low[tri] = self._fixed(p3)
         p4 = self._order(grams // A, n, p3[tri_of], discount)
         known = np.unique(grams // A)
-        self.row = np.zeros(A**3, np.int32)
+        self.row = np.zeros(A**3, np.uint16 if len(known) < 1 << 16 else np.int32)
         self.row[known] = np.arange(1, len(known) + 1)
         high = np.zeros((len(known) + 1, A), np.int32)
         high[1:] = self.low.reshape(A**2, A)[known % A**2]
@@ -156,7 +156,7 @@ class Model:
             sums = np.zeros(hi - lo, np.int64)
             for begin, history, x, own in _windows(s, start):
                 row = self.row[history]
-                v = np.where(row > 0, self.high[row * A + x], self.low[history % A**2 * A + x]).astype(np.int64)
+                v = np.where(row > 0, self.high[row.astype(np.int32) * A + x], self.low[history % A**2 * A + x]).astype(np.int64)
                 v *= own
                 i, j = int(np.searchsorted(start, begin, side="right")) - 1, int(np.searchsorted(start, begin + len(x)))
                 sums[i:j] += np.add.reduceat(v, np.maximum(start[i:j], begin) - begin)
@@ -220,18 +220,9 @@ def counts(rows: DataFrame) -> Counts:
     return Counts(grams, table)
 
 
-_models: dict[tuple, Model] = {}
-
-
-def _model(shared, fold: int | None) -> Model:
-    """The model of all folds, or of all but one; made once a worker."""
-    key = (shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) else id(shared.value), fold)
-    if key not in _models:
-        if len(_models) > PARTS:
-            _models.clear()
-        c: Counts = shared.value
-        _models[key] = Model(c.grams, c.n.sum(axis=1) - (0 if fold is None else c.n[:, fold]))
-    return _models[key]
+def _model(c: Counts, fold: int | None) -> Model:
+    """The model of all folds, or of all but one. It is made once a task and goes with it, as workers live on."""
+    return Model(c.grams, c.n.sum(axis=1) - (0 if fold is None else c.n[:, fold]))
 
 
 def _held_out(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -241,7 +232,7 @@ def _held_out(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
         for k in range(PARTS):
             here = np.flatnonzero(fold == k)
             if len(here):
-                z[here] = _model(shared, k).z(b.column(1).take(pa.array(here)))
+                z[here] = _model(shared.value, k).z(b.column(1).take(pa.array(here)))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.rint(z * Z_BINS).astype(np.int64))], names=["y", "z"])
 
 
@@ -268,7 +259,7 @@ def _scorer(shared, line: np.ndarray):
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = _model(shared, None)
+        m = _model(shared.value, None)
         for texts in batches:
             z = m.z(pa.array(texts, pa.large_string()))
             yield pd.Series(1 / (1 + np.exp(-np.clip(line[0] + line[1] * z, -30, 30))))
