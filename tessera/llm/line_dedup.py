@@ -155,28 +155,27 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     return by_doc.select("doc", "th", "n_lines", F.pandas_udf(_bitmap, "struct<n_dropped:bigint,kept:binary>")("n_lines", "pos").alias("b")).select("doc", "th", "n_lines", "b.n_dropped", "b.kept")
 
 
-def _with_bitmaps(rows: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``rows`` (with doc and th) with n_dropped and kept, null where nothing is dropped. Rows that may have a bitmap
-    meet theirs by a sort-merge join at every size, the others pass. The bitmaps are written first, so that a task never
-    holds Python workers for both steps."""
+def _with_bitmaps(rows: DataFrame, bitmaps: DataFrame, text: str) -> DataFrame:
+    """``rows`` (with doc and th) with n_dropped and new, the text that stays; both null where nothing is dropped. Rows that
+    may have a bitmap meet theirs by a sort-merge join at every size, the others pass. The bitmaps are written first, and
+    only texts that met one are cut, so that a task never holds Python workers for two steps."""
     bitmaps = keep(bitmaps.select("doc", "th", "n_dropped", "kept"), "bitmaps")
     rows = rows.withColumn("maybe", membership(bitmaps, "doc", "th")(F.col("doc"), F.col("th")))
     met = rows.where("maybe").join(bitmaps.hint("merge"), ["doc", "th"], "left")
-    apart = rows.where("not maybe").withColumns({"n_dropped": F.lit(None).cast("bigint"), "kept": F.lit(None).cast("binary")})
-    return met.unionByName(apart)
+    cut = F.pandas_udf(_kept_text, "string")(F.when(F.col("kept").isNotNull(), F.col(text)), F.col("kept"))
+    met = met.withColumn("new", cut).drop("kept")
+    return met.unionByName(rows.where("not maybe").withColumns({"n_dropped": F.lit(None).cast("bigint"), "new": F.lit(None).cast("string")}))
 
 
 def deduplicated(docs: DataFrame, **params) -> DataFrame:
     """``docs`` with all its columns; text without the dropped lines (a text that loses none is unchanged)."""
-    j = _with_bitmaps(identified(docs), keep_bitmaps(docs, **params))
-    j = j.withColumn("new", F.pandas_udf(_kept_text, "string")(F.when(F.col("kept").isNotNull(), F.col("whole.text")), F.col("kept")))
-    return j.select(*[F.when(F.col("kept").isNull(), F.col("whole.text")).otherwise(F.col("new")).alias(c) if c == "text" else F.col("whole").getField(c).alias(c) for c in docs.columns])
+    j = _with_bitmaps(identified(docs), keep_bitmaps(docs, **params), "whole.text")
+    return j.select(*[F.coalesce("new", "whole.text").alias(c) if c == "text" else F.col("whole").getField(c).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, **params) -> DataFrame:
     """doc_id, n_lines (before dropping), n_dropped and kept_sha256 of every row."""
-    j = _with_bitmaps(_keyed(docs), keep_bitmaps(docs, **params))
-    j = j.withColumn("new", F.pandas_udf(_kept_text, "string")(F.when(F.col("kept").isNotNull(), F.col("text")), F.col("kept")))
+    j = _with_bitmaps(_keyed(docs), keep_bitmaps(docs, **params), "text")
     return j.select(
         F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"),
         F.size(F.split("text", "\n", -1)).cast("bigint").alias("n_lines"),

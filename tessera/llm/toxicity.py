@@ -46,7 +46,7 @@ REJECT = 0.3
 HELD_OUT, FOLDS = 2, 4
 PARTS = 5
 #: Bytes that are handled at a time; log-ratios are whole multiples of 1 / SCALE.
-PIECE = 1 << 20
+PIECE = 1 << 18
 SCALE = float(1 << 20)
 #: Bins of z in the histogram for the logistic map, so many a unit.
 Z_BINS = 1_000
