@@ -85,25 +85,31 @@ def claims(answer: Column) -> Column:
     return F.flatten(F.transform(lines, _line_claims))
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is made once, however often it is used in lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _line_claims(line: Column) -> Column:
     marker = r"\[(S\d+)\]"
-    parts = F.filter(F.split(F.trim(line), ANSWER_BREAK), lambda p: F.trim(p) != "")
     lead = lambda p: F.regexp_extract(F.coalesce(p, F.lit("")), r"^((?:\s*\[S\d+\])+)", 1)
-    raw = F.transform(
-        parts,
-        lambda p, i: F.struct(
-            F.trim(F.regexp_replace(p, marker, "")).alias("text"),
-            F.array_distinct(F.regexp_extract_all(F.concat(p, lead(F.get(parts, i + 1))), F.lit(marker), F.lit(1))).alias("ids"),
-        ),
-    )
-    said = F.filter(raw, lambda c: c["text"].rlike(r"[\p{L}\p{N}]"))
-    start = F.struct(F.filter(said, lambda c: F.lit(False)).alias("out"), F.array().cast("array<string>").alias("ids"))
 
-    def back(acc: Column, c: Column) -> Column:
-        ids = F.when(F.size(c["ids"]) > 0, c["ids"]).otherwise(acc["ids"])
-        return F.struct(F.concat(F.array(F.struct(c["text"].alias("text"), ids.alias("ids"))), acc["out"]).alias("out"), ids.alias("ids"))
+    def raw(parts: Column) -> Column:
+        return F.transform(
+            parts,
+            lambda p, i: F.struct(
+                F.trim(F.regexp_replace(p, marker, "")).alias("text"),
+                F.array_distinct(F.regexp_extract_all(F.concat(p, lead(F.get(parts, i + 1))), F.lit(marker), F.lit(1))).alias("ids"),
+            ),
+        )
+
+    def filled(said: Column) -> Column:
+        cited = F.filter(F.transform(said, lambda c, i: F.struct(i.alias("at"), c["ids"].alias("ids"))), lambda c: F.size(c["ids"]) > 0)
+        own_or_next = lambda cited, i: F.coalesce(F.get(F.filter(cited, lambda x: x["at"] >= i), F.lit(0))["ids"], F.array().cast("array<string>"))
+        return _bound(cited, lambda x: F.transform(said, lambda c, i: F.struct(c["text"].alias("text"), own_or_next(x, i).alias("ids"))))
 
-    return F.aggregate(F.reverse(said), start, back, lambda acc: acc["out"])
+    parts = F.filter(F.split(F.trim(line), ANSWER_BREAK), lambda p: F.trim(p) != "")
+    return _bound(F.filter(_bound(parts, raw), lambda c: c["text"].rlike(r"[\p{L}\p{N}]")), filled)
 
 
 def confidence(n_claims: Column, n_supported: Column, best_score: Column, any_repaired: Column, abstained: Column) -> Column:
