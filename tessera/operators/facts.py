@@ -89,11 +89,13 @@ def lookup(facts: DataFrame, filings: DataFrame, metrics: DataFrame) -> DataFram
 
     ``facts`` as from flatten(); ``filings`` (ticker, fiscal_year, accession_number, period_end, filing_date, source_url), annual
     ones. A filing's own values, over all concepts, come before any later filing's comparative; then the concept's
-    preference, the filing date of a later filing and the order in the file decide. Joins are on the company, with
-    the dates as a range within it."""
+    preference, the filing date of a later filing and the order in the file decide. Joins are on company and year, with
+    the dates as a range within them."""
     own_key = ["ticker", "fiscal_year", "metric"]
     f = facts.join(F.broadcast(metrics), ["concept", "unit"])
-    j = f.join(filings, "ticker").where(covers_year(F.col("start"), F.col("end"), F.col("period_end"), F.col("instant")))
+    # a fact meets the filings whose period ends about its own end, by company and year
+    near = F.array_distinct(F.array(*[F.year(F.date_add(F.to_date("period_end"), d)) for d in (-END_TOLERANCE, END_TOLERANCE)]))
+    j = f.withColumn("__year", F.year(F.to_date("end"))).join(filings.withColumn("__year", F.explode(near)), ["ticker", "__year"]).drop("__year").where(covers_year(F.col("start"), F.col("end"), F.col("period_end"), F.col("instant")))
     own = F.col("accn") == F.col("accession_number")
     later = (F.col("form") == "10-K") & (F.col("filed") > F.col("filing_date"))
     c = j.where(own | later).withColumn("comparative", ~own)
