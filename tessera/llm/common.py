@@ -46,11 +46,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def keep(df: DataFrame, name: str = "t") -> DataFrame:
+def keep(df: DataFrame, name: str = "t", few: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back; the table goes when the application ends.
 
-    This cuts the lineage as a checkpoint does, survives lost executors, and stores columns compactly."""
+    This cuts the lineage as a checkpoint does, survives lost executors, and stores columns compactly. ``few`` is for
+    tables far smaller than what they are made of: their rows go to no more files than there are cores, as Hadoop's local
+    file system starts a process (chmod) for every file, in which the writing executor stands twice until it is loaded."""
     spark = df.sparkSession
+    if few:
+        df = df.repartition(spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -94,7 +98,7 @@ def membership(members: DataFrame, *cols: str) -> Callable[..., Column]:
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` with all its columns, but for the rows whose doc and th (see identified()) are in ``gone``. If ``gone``
     isn't small, only rows that may be in it are shuffled."""
-    gone = keep(gone.select("doc", "th").distinct(), "gone")
+    gone = keep(gone.select("doc", "th").distinct(), "gone", few=True)
     side, small = broadcast_if_small(gone, 200_000)
     rows = identified(docs)
     if small:

@@ -168,7 +168,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, min_support: int = MIN_S
     # so common words go before the corpus is read for counts
     n_near = near.groupBy("term").agg(F.count_distinct("row").alias("n_near"))
     pairs = pairs.join(n_entity.where(F.col("n_entity") < n), "entity").join(n_near, "term").where(ratio("n_near") >= threshold)
-    pairs = keep(pairs, "pairs")
+    pairs = keep(pairs, "pairs", few=True)
     if not pairs.limit(1).count():  # nothing discloses, so the texts needn't be read again
         return pairs.select("term", F.lit(0.0).alias("ratio"), F.lit("").alias("action")), None
     words = F.array_distinct(F.split(ascii_lower("text"), r"[^\p{L}]+"))
@@ -177,7 +177,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, min_support: int = MIN_S
     n_term = text.select(F.explode(words).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
     scored = pairs.join(n_term, "term").select("term", ratio("n_term").alias("ratio")).groupBy("term").agg(F.max("ratio").alias("ratio"))
     action = F.when(F.col("ratio") >= remove_at, F.lit("remove")).otherwise(F.lit("generalise"))
-    flagged = keep(scored.where(F.col("ratio") >= threshold).withColumn("action", action), "flagged")
+    flagged = keep(scored.where(F.col("ratio") >= threshold).withColumn("action", action), "flagged", few=True)
     side, small = broadcast_if_small(flagged.select("term", "action"))
     key = F.md5(F.col("text").cast("binary")).alias("text_key")
     if small:  # the words meet the terms where they are made; a text is touched again only on a hit
@@ -200,7 +200,7 @@ def spans(docs: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = TH
     if at is None:
         return found.select("doc_id", "text_key", "base", _empty().alias("terms"))
     by_text = at.groupBy("text_key").agg(F.flatten(F.collect_set("s")).alias("terms"))
-    by_text = keep(by_text, "marked")
+    by_text = keep(by_text, "marked", few=True)
     out = found.select("doc_id", "text_key", "base").join(by_text, "text_key", "left")
     apart = F.filter(F.coalesce("terms", _empty()), lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (t["end"] > b["start"])))
     return out.select("doc_id", "text_key", "base", apart.alias("terms"))

@@ -302,3 +302,37 @@ def test_stages_pass_other_columns_on(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         d = keep(stage(spark, d, str(tmp_path)))
         assert {(r.doc, r.th, r.score, r.maybe, r.whole, r.new) for r in d.collect()} <= {("own",) * 6}
+
+
+def test_small_tables_go_to_few_files(spark):
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.range(0, 5000, 1, 10 * cores)
+    kept = common.keep(df, "few", few=True)
+    assert len(kept.inputFiles()) <= cores
+    assert sorted(r.id for r in kept.collect()) == list(range(5000))
+    assert common.keep(df.limit(0), "none", few=True).count() == 0
+
+
+def test_pii_writes_small_tables_to_few_files(spark, monkeypatch):
+    files, keep = {}, common.keep
+
+    def counted(df, name="t", **how):
+        out = keep(df, name, **how)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(pii, "keep", counted)
+    cores = spark.sparkContext.defaultParallelism
+    texts = [f"{a} zanzibar mail x{i}@y.org {b}" for i in range(8 * cores) for a, b in (("on", "now"), ("by", "then"))]
+    texts = [t.replace("zanzibar", "z" + "".join(chr(97 + int(c)) for c in str(i // 2)) + "q") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4 * cores)
+    many = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": str(8 * cores)}
+    before = {k: spark.conf.get(k) for k in many}
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        assert pii.report(docs).where("n_term > 0").count() == len(texts)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(files[n] for n in ("pairs", "flagged", "marked")) <= cores
