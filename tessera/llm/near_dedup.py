@@ -269,7 +269,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch], limit: Threshold) -> Iterator[
 
 def texts_of(involved: DataFrame, one: DataFrame, docs: DataFrame) -> DataFrame:
     """fp and the text of each class of ``involved`` (fp), that of its first row; no other text is moved."""
-    sample = keep(one.join(involved, "fp", "left_semi").select("fp", F.coalesce("first.doc_id", F.lit(NO_ID)).alias("doc"), "first.th"), "involved")
+    sample = keep(one.join(involved, "fp", "left_semi").select("fp", F.coalesce("first.doc_id", F.lit(NO_ID)).alias("doc"), "first.th"), "involved", few=True)
     side, small = broadcast_if_small(sample)
     rows = identified(docs).select("doc", "th", F.coalesce("whole.text", F.lit("")).alias("text"))
     if not small:
@@ -295,15 +295,15 @@ def components(links: DataFrame, one: DataFrame) -> DataFrame:
 
     Labels spread to the smallest neighbour's and then to the label's own label, so the number of rounds grows
     with the logarithm of a component's diameter. Every round is written to the shared folder."""
-    both = keep(links.union(links.select("b", "a")).toDF("node", "other").distinct(), "edges")
+    both = keep(links.union(links.select("b", "a")).toDF("node", "other").distinct(), "edges", few=True)
     own = F.struct("first.no_id", "first.doc_id", "fp").alias("comp")
-    labels = keep(one.select(F.col("fp").alias("node"), own).join(both.select("node").distinct(), "node"), "labels")
+    labels = keep(one.select(F.col("fp").alias("node"), own).join(both.select("node").distinct(), "node"), "labels", few=True)
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), "comp"), "other").groupBy("node").agg(F.min("comp").alias("m"))
         step = labels.join(near, "node").select("node", F.least("comp", "m").alias("comp"), F.col("comp").alias("old"))
         step = step.withColumn("at", F.col("comp.fp"))
         up = labels.select(F.col("node").alias("at"), F.col("comp").alias("up"))
-        step = keep(step.join(up, "at").select("node", F.least("comp", "up").alias("comp"), "old"), "labels")
+        step = keep(step.join(up, "at").select("node", F.least("comp", "up").alias("comp"), "old"), "labels", few=True)
         labels = step.select("node", "comp")
         if not step.where("comp <> old").limit(1).count():
             return labels
@@ -326,8 +326,8 @@ def classes(docs: DataFrame, limit: Threshold = CONTRACT) -> DataFrame:
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     buckets = keep(bands.join(shared, "band").join(one.select("fp", "short"), "fp").select("number", "band", "fp", "short"), "buckets")
     ordered = buckets.repartitionByRange("band").sortWithinPartitions("band", "fp")
-    tried = keep(ordered.select("band", "fp", "short").mapInArrow(lambda batches: _propose(batches, limit), "a binary, b binary").distinct(), "tried")
-    links = keep(confirm(tried, one, docs, limit), "links")
+    tried = keep(ordered.select("band", "fp", "short").mapInArrow(lambda batches: _propose(batches, limit), "a binary, b binary").distinct(), "tried", few=True)
+    links = keep(confirm(tried, one, docs, limit), "links", few=True)
     labels = components(links, one)
     labelled = buckets.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("band", "fp", "short", F.coalesce("comp.fp", "fp").alias("comp"), "number")
     mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
@@ -337,8 +337,8 @@ def classes(docs: DataFrame, limit: Threshold = CONTRACT) -> DataFrame:
     long = keep(texts_of(near.distinct(), one, docs).mapInArrow(_long, "fp binary, long binary"), "long")
     again = again.join(long, "fp").repartitionByRange("band").sortWithinPartitions("band", "fp")
     more = again.select("band", "fp", "short", "comp", "number", "long").mapInArrow(lambda batches: _across(batches, limit), "a binary, b binary")
-    more = keep(more.join(tried, ["a", "b"], "left_anti"), "more")
-    more_links = keep(confirm(more, one, docs, limit), "more-links")
+    more = keep(more.join(tried, ["a", "b"], "left_anti"), "more", few=True)
+    more_links = keep(confirm(more, one, docs, limit), "more-links", few=True)
     if more_links.limit(1).count():
         labels = components(links.union(more_links), one)
     verdict = keep(one.select("fp", "first").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.when(F.col("comp").isNull(), F.col("first.doc_id")).otherwise(F.col("comp.doc_id")).alias("smallest")), "verdicts")

@@ -336,3 +336,30 @@ def test_pii_writes_small_tables_to_few_files(spark, monkeypatch):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert max(files[n] for n in ("pairs", "flagged", "marked")) <= cores
+
+
+def test_component_tables_go_to_few_files(spark, monkeypatch):
+    files, keep = [], common.keep
+
+    def counted(df, name="t", **how):
+        out = keep(df, name, **how)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "keep", counted)
+    cores = spark.sparkContext.defaultParallelism
+    fp = lambda c: F.col(c).cast("string").cast("binary")
+    ids = spark.range(0, 400, 1, 4)
+    one = ids.select(fp("id").alias("fp"), F.struct(F.lit(False).alias("no_id"), F.col("id").alias("doc_id"), F.lit(0).cast("bigint").alias("th")).alias("first"))
+    links = ids.where("id % 2 = 0").select(fp("id").alias("a"), F.expr("id + 1").cast("string").cast("binary").alias("b"))
+    many = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": str(4 * cores)}
+    before = {k: spark.conf.get(k) for k in many}
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        got = {int(r.node): r.comp.doc_id for r in near_dedup.components(links, one).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: i - i % 2 for i in range(400)}
+    assert max(files) <= cores
