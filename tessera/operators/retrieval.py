@@ -195,21 +195,11 @@ def search_decomposed(retriever: Retriever, queries: DataFrame, filters: SearchF
 
 def ann_recall(vectors: DataFrame, queries: DataFrame, k: int = 10, bucket_length: float = 0.5, tables: int = 8, seed: int = 7) -> DataFrame:
     """Recall at k of random-projection hashing against the exact answer, by query. Vectors that share a hash with
-    the query in any table are scored."""
-    rng = np.random.default_rng(seed)
-    dim = len(vectors.select("embedding").first()[0])
-    planes = rng.normal(size=(tables, dim)).tolist()
-
-    def hashes(v: Column) -> Column:
-        return F.array(*[F.struct(F.lit(i).alias("t"), F.floor(dot(v, F.array(*map(F.lit, p))) / bucket_length).alias("h")) for i, p in enumerate(planes)])
-
-    exact_top = dense(vectors, queries, k).groupBy("query_id").agg(F.collect_set("id").alias("exact"))
-    v = vectors.select("id", "embedding", F.explode(hashes(F.col("embedding"))).alias("h"))
-    q = queries.select("query_id", F.col("embedding").alias("q"), F.explode(hashes(F.col("embedding"))).alias("h"))
-    pairs = v.join(F.broadcast(q), "h").dropDuplicates(["query_id", "id"]).select("query_id", "id", dot(F.col("embedding"), F.col("q")).alias("score"))
-    approx = ranked(pairs, k).groupBy("query_id").agg(F.collect_set("id").alias("approx"))
-    j = exact_top.join(approx, "query_id", "left")
-    return j.select("query_id", (F.size(F.array_intersect("exact", F.coalesce("approx", F.array().cast("array<bigint>")))) / F.size("exact")).alias("recall"))
+    the query in any table are scored. Ids tell vectors apart; vectors that are null, of another length than the first
+    query's or hold null or non-finite components take no part, and the recall of such a query is null."""
+    from tessera.operators import nearest
+
+    return nearest.recall(vectors, queries, k, bucket_length, tables, seed)
 
 
 def contains_all(text: Column, words: Column) -> Column:
