@@ -30,12 +30,18 @@ def ranked(scored: DataFrame, k: int | None = None, by: Sequence[str] = ("query_
     return out.where(F.col("rank") <= k) if k else out
 
 
+def fixed_sum(c: Column) -> Column:
+    """The sum of a group's few numbers in the order of their size, so that equal numbers have equal sums however rows arrive."""
+    return F.aggregate(F.array_sort(F.collect_list(c)), F.lit(0.0), lambda s, x: s + x)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, partition: Sequence[str] = (), k1: float = K1, b: float = B, stemmed: bool = True) -> DataFrame:
     """Scores (query_id, *partition, id, score) of ``docs`` (id, text, *partition) for ``queries`` (query_id, text).
 
     Counts, lengths and document frequencies are those of the whole partition, so filters belong after this. The
     queries' terms meet a document's tokens where these are made, so only matching terms are shuffled. A term that
-    a query repeats counts that often; documents without a matching term get no row."""
+    a query repeats counts that often; documents without a matching term get no row. Documents of equal counts have
+    equal scores to the last digit."""
     part = list(partition)
     d = docs.select("id", *part, tokens(F.col("text"), stemmed).alias("toks")).withColumn("dl", F.size("toks"))
     q = queries.select("query_id", F.explode(tokens(F.col("text"), stemmed)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
@@ -46,9 +52,9 @@ def bm25(docs: DataFrame, queries: DataFrame, partition: Sequence[str] = (), k1:
     t = tf.join(F.broadcast(df), [*part, "term"])
     t = t.join(F.broadcast(stats), part) if part else t.crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = t.select("id", *part, "term", weight.alias("w")).join(F.broadcast(q), "term")
-    return hits.groupBy("query_id", *part, "id").agg(F.sum(F.col("w") * F.col("qf")).alias("score")).where(F.col("score") > 0)
+    weight = F.col("qf") * idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    hits = t.join(F.broadcast(q), "term").select("query_id", "id", *part, weight.alias("w"))
+    return hits.groupBy("query_id", *part, "id").agg(fixed_sum(F.col("w")).alias("score")).where(F.col("score") > 0)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -69,7 +75,7 @@ def rrf(rankings: Sequence[DataFrame], k: int, weights: Sequence[float] | None =
     all_parts = parts[0]
     for p in parts[1:]:
         all_parts = all_parts.unionByName(p)
-    return ranked(all_parts.groupBy("query_id", "id").agg(F.sum("s").alias("score")), k)
+    return ranked(all_parts.groupBy("query_id", "id").agg(fixed_sum(F.col("s")).alias("score")), k)
 
 
 def bag_of_words_embedder(dim: int = EMBED_DIM) -> Callable[[Column], Column]:

@@ -66,3 +66,19 @@ def test_ann_recall_of_odd_vectors(spark):
     assert got == {1: 1.0, 0: None}
     none = frame(spark, {}).where("id > 0")
     assert retrieval.ann_recall(none, none.withColumnRenamed("id", "query_id")).count() == 0
+
+
+def test_bm25_scores_of_copies_are_equal(spark):
+    """However their terms arrive; so ties go to the smaller id."""
+    words = "alpha beta gamma delta epsilon".split()
+    texts = [" ".join(w for j, w in enumerate(words) for _ in range((i >> j & 1) * (1 + (i + j) % 3))) + " pad" * (i % 7) for i in range(1, 32)]
+    docs = [(1000 * c + i, t) for c in range(40) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(docs, "id bigint, text string").repartition(16)
+    q = spark.createDataFrame([(1, " ".join(words))], "query_id int, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        scores = {r.id: r.score for r in retrieval.bm25(d, q, stemmed=False).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(scores) == len(docs)
+    assert all(scores[1000 * c + i] == scores[i] for c in range(40) for i in range(len(texts)))
