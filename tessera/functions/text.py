@@ -50,12 +50,21 @@ def _stem_all(lists: pd.Series) -> pd.Series:
     return lists.map(lambda x: None if x is None else [_stem(t) for t in x])
 
 
+def _stem_each(words: pd.Series) -> pd.Series:
+    return words.map(_stem.__wrapped__)  # distinct words: nothing to remember
+
+
 def tokens(c: Column, stemmed: bool = True) -> Column:
     """The search tokens of a text; alphabetic ones stemmed (the one step outside the JVM)."""
     raw = raw_tokens(c)
     return F.pandas_udf(_stem_all, "array<string>")(raw) if stemmed else raw
 
 
+def stemmed_token(c: Column) -> Column:
+    """The search token of one lower-case word."""
+    return F.pandas_udf(_stem_each, "string")(c)
+
+
 def sentences(c: Column) -> Column:
     return F.filter(F.split(c, SENTENCE_BREAK), lambda s: s != "")
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.text import content_hash, tokens
+from tessera.functions.text import content_hash, raw_tokens, stemmed_token, tokens
 from tessera.operators.filters import SearchFilters
 
 K1, B = 1.2, 0.75
@@ -35,6 +35,17 @@ def fixed_sum(c: Column) -> Column:
     return F.aggregate(F.array_sort(F.collect_list(c)), F.lit(0.0), lambda s, x: s + x)
 
 
+def wanted_words(toks: DataFrame, terms: DataFrame, stemmed: bool) -> DataFrame:
+    """(word, term): the words of ``toks`` (toks) whose search token is among ``terms`` (term). Each distinct word is
+    stemmed once, not each occurrence, and only if it begins as a term does, as no rule of the stemmer changes the first letter."""
+    if not stemmed:
+        return terms.select(F.col("term").alias("word"), "term")
+    initials = F.broadcast(terms.select(F.left("term", F.lit(1)).alias("initial")).distinct())
+    found = toks.select(F.explode("toks").alias("word")).withColumn("initial", F.left("word", F.lit(1)))
+    words = found.join(initials, "initial", "left_semi").select("word").distinct()
+    return words.select("word", stemmed_token(F.col("word")).alias("term")).join(F.broadcast(terms), "term", "left_semi")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, partition: Sequence[str] = (), k1: float = K1, b: float = B, stemmed: bool = True) -> DataFrame:
     """Scores (query_id, *partition, id, score) of ``docs`` (id, text, *partition) for ``queries`` (query_id, text).
 
@@ -43,12 +54,12 @@ def bm25(docs: DataFrame, queries: DataFrame, partition: Sequence[str] = (), k1:
     a query repeats counts that often; documents without a matching term get no row. Documents of equal counts have
     equal scores to the last digit."""
     part = list(partition)
-    d = docs.select("id", *part, tokens(F.col("text"), stemmed).alias("toks")).withColumn("dl", F.size("toks"))
+    d = docs.select("id", *part, raw_tokens(F.col("text")).alias("toks")).withColumn("dl", F.size("toks"))
     q = queries.select("query_id", F.explode(tokens(F.col("text"), stemmed)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    terms = F.broadcast(q.select("term").distinct())  # the words of the stated queries
+    words = F.broadcast(wanted_words(d, q.select("term").distinct(), stemmed))  # the words of the stated queries
     stats = d.groupBy(*part).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = d.select("id", *part, "dl", F.explode("toks").alias("term")).join(terms, "term").groupBy("id", *part, "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(*part, "term").agg(F.count("*").alias("df"))
+    tf = d.select("id", *part, "dl", F.explode("toks").alias("word")).join(words, "word").groupBy("id", *part, "dl", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy(*part, "term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"))  # reads tf, so that both uses share one shuffle
     t = tf.join(F.broadcast(df), [*part, "term"])
     t = t.join(F.broadcast(stats), part) if part else t.crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -1,7 +1,10 @@
 """Retrieval on odd inputs, and that what it moves follows its input."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from tessera.functions import stemmer
+from tessera.functions.text import tokens
 from tessera.operators import nearest, retrieval
 
 
@@ -82,3 +85,24 @@ def test_bm25_scores_of_copies_are_equal(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(scores) == len(docs)
     assert all(scores[1000 * c + i] == scores[i] for c in range(40) for i in range(len(texts)))
+
+
+def test_bm25_stems_each_distinct_word_once(spark):
+    """Python never sees a document's tokens, only distinct words that begin as a term does; scores are those of stemmed tokens."""
+    texts = {1: "Running runs run, ran; runner's 1,200 relational", 2: "relate related relations dying die", 3: None, 4: "", 5: "skies sky generously runs runs"}
+    d = spark.createDataFrame(list(texts.items()), "id bigint, text string")
+    q = spark.createDataFrame([(1, "runs relating sky 1,200 die")], "query_id int, text string")
+    scored = retrieval.bm25(d, q)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "_stem_each(word" in plan
+    ready = d.select("id", F.array_join(tokens(F.col("text")), " ").alias("text"))
+    ready_q = q.select("query_id", F.array_join(tokens(F.col("text")), " ").alias("text"))
+    want = {r.id: round(r.score, 12) for r in retrieval.bm25(ready, ready_q, stemmed=False).collect()}
+    assert {r.id: round(r.score, 12) for r in scored.collect()} == want and len(want) == 3
+
+
+def test_no_stem_changes_the_first_letter():
+    rng = np.random.default_rng(1)
+    ends = ["", "s", "ies", "ied", "ing", "ed", "eed", "ly", "ingly", "ational", "fulness", "ative", "y", "e", "al", "ion"]
+    words = {"".join(rng.choice(list("aeiouybcdlst"), n)) + end for n in (1, 2, 3, 4) for end in ends for _ in range(60)} | set(stemmer.EXCEPTIONS)
+    assert all(stemmer.stem(w)[:1] == w[0] for w in words)
