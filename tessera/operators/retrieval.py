@@ -97,9 +97,8 @@ def bag_of_words_embedder(dim: int = EMBED_DIM) -> Callable[[Column], Column]:
 
         out = []
         for t in texts:
-            v = np.zeros(dim, np.float32)
-            for w in (t or "").lower().split():
-                v[zlib.crc32(w.encode()) % dim] += 1
+            at = np.fromiter((zlib.crc32(w.encode()) % dim for w in (t or "").lower().split()), np.int64)
+            v = np.bincount(at, minlength=dim).astype(np.float32)
             out.append((v / (np.linalg.norm(v) or 1)).tolist())
         return pd.Series(out)
 
@@ -123,8 +122,8 @@ def embed_incrementally(chunks: DataFrame, cache: DataFrame, embed: Callable[[Co
 def rerank(candidates: DataFrame, texts: DataFrame, queries: DataFrame, score: Callable[[Column, Column], Column], pool: int = RERANKED) -> DataFrame:
     """Score the first ``pool`` candidates of every query in one pass and sort by the new score; equal scores keep
     their order. ``texts`` (id, text), ``queries`` (query_id, text)."""
-    top = candidates.where(F.col("rank") <= pool).select("query_id", "id", F.col("rank").alias("before"))
-    pairs = top.join(texts.select("id", F.col("text").alias("passage")), "id").join(F.broadcast(queries.select("query_id", F.col("text").alias("q"))), "query_id")
+    top = F.broadcast(candidates.where(F.col("rank") <= pool).select("query_id", "id", F.col("rank").alias("before")))  # a pool a query; texts aren't shuffled
+    pairs = texts.select("id", F.col("text").alias("passage")).join(top, "id").join(F.broadcast(queries.select("query_id", F.col("text").alias("q"))), "query_id")
     scored = pairs.select("query_id", "id", "before", score(F.col("q"), F.col("passage")).alias("score"))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "before")))
 
@@ -140,26 +139,34 @@ class Retriever:
     stemmed: bool = True
 
     def lists(self, queries: DataFrame, filters: SearchFilters, n: int, mode: str) -> dict[str, DataFrame]:
-        """First-stage rankings by name. Lexical scores come from the whole partition and are filtered after."""
+        """First-stage rankings by name. Lexical scores come from the whole partition and are filtered after. The n rows
+        a query are kept in memory, as several stages read them and each would pass over all chunks again."""
         out = {}
         allowed = filters.apply(self.chunks)
         if mode != "dense":
             scores = bm25(self.chunks.select("id", "text", *self.partition), queries, self.partition, stemmed=self.stemmed)
-            out["bm25"] = ranked(scores.join(allowed.select("id"), "id", "left_semi").select("query_id", "id", "score"), n)
+            out["bm25"] = ranked(scores.join(allowed.select("id"), "id", "left_semi").select("query_id", "id", "score"), n).persist()
         if mode != "bm25":
-            out["dense"] = dense(allowed.select("id", "embedding"), queries.select("query_id", self.embed(F.col("text")).alias("embedding")), n)
+            out["dense"] = dense(allowed.select("id", "embedding"), queries.select("query_id", self.embed(F.col("text")).alias("embedding")), n).persist()
         return out
 
     def search(self, queries: DataFrame, filters: SearchFilters | None = None, k: int = 8, mode: str = "hybrid_rerank", pool: int = RERANKED) -> DataFrame:
         """query_id, id, score, rank and stages, the score and rank of each stage that saw the chunk."""
+        return self.search_modes(queries, filters, k, (mode,), pool)[mode]
+
+    def search_modes(self, queries: DataFrame, filters: SearchFilters | None = None, k: int = 8, modes: Sequence[str] = MODES, pool: int = RERANKED) -> dict[str, DataFrame]:
+        """What search() gives in each of the modes, whose first-stage rankings are made once for all."""
         filters, n = filters or SearchFilters(), max(k, CANDIDATES)
-        lists = self.lists(queries, filters, n, mode)
+        first = self.lists(queries, filters, n, modes[0] if len(set(modes)) == 1 else "hybrid")
+        return {mode: self._finish({mode: first[mode]} if mode in first else first, queries, n, k, mode, pool) for mode in modes}
+
+    def _finish(self, lists: dict[str, DataFrame], queries: DataFrame, n: int, k: int, mode: str, pool: int) -> DataFrame:
         final = rrf(list(lists.values()), 2 * n) if len(lists) > 1 else next(iter(lists.values()))
         stages = dict(lists)
         if len(lists) > 1:
             stages["rrf"] = final
         if mode == "hybrid_rerank" and self.scorer:
-            final = rerank(final, self.chunks.select("id", "text"), queries, self.scorer, pool)
+            final = rerank(final, self.chunks.select("id", "text"), queries, self.scorer, pool).persist()
             stages["rerank"] = final
         out = final.select("query_id", "id", "score", "rank").where(F.col("rank") <= k)
         long = None

@@ -233,11 +233,11 @@ def corpus_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four modes of the retriever with the stand-in models; an embedding model has no SQL form."""
     embed = R.bag_of_words_embedder()
-    c = chunks(spark, sf_dir).withColumn("embedding", embed(F.col("text"))).cache()
+    c = chunks(spark, sf_dir).withColumn("embedding", embed(F.col("text")))
     r = R.Retriever(c, embed, lambda q, p: -F.length(p).cast("double"))
     out = None
-    for mode in R.MODES:
-        hits = r.search(one_query(spark), SearchFilters(), 5, mode).select(F.lit(mode).alias("mode"), "id", "rank", F.size("stages").alias("n_stages"))
+    for mode, found in r.search_modes(one_query(spark), SearchFilters(), 5).items():
+        hits = found.select(F.lit(mode).alias("mode"), "id", "rank", F.size("stages").alias("n_stages"))
         out = hits if out is None else out.unionByName(hits)
     return out
 

@@ -106,3 +106,17 @@ def test_no_stem_changes_the_first_letter():
     ends = ["", "s", "ies", "ied", "ing", "ed", "eed", "ly", "ingly", "ational", "fulness", "ative", "y", "e", "al", "ion"]
     words = {"".join(rng.choice(list("aeiouybcdlst"), n)) + end for n in (1, 2, 3, 4) for end in ends for _ in range(60)} | set(stemmer.EXCEPTIONS)
     assert all(stemmer.stem(w)[:1] == w[0] for w in words)
+
+
+def test_modes_pass_over_the_chunks_once_for_each_ranking(spark):
+    """All four modes read two kept rankings, and no text is shuffled for the reranking."""
+    rows = [(i, f"alpha {'beta ' * (i % 4)}", "A", "en", 2022, None, "10-K", "text", [float(i % 3), 1.0]) for i in range(60)]
+    c = spark.createDataFrame(rows, "id bigint, text string, ticker string, section string, fiscal_year int, fiscal_quarter int, form string, chunk_type string, embedding array<float>")
+    r = retrieval.Retriever(c, lambda t: F.array(F.lit(1.0), F.lit(0.5)).cast("array<float>"), lambda q, p: -F.length(p).cast("double"))
+    q = spark.createDataFrame([(1, "beta")], "query_id int, text string")
+    found = r.search_modes(q, None, 5)
+    for mode, hits in found.items():
+        plan = hits._jdf.queryExecution().withCachedData().toString()
+        assert "InMemoryRelation" in plan and "regexp_extract_all" not in plan.replace("InMemoryRelation", "\nInMemoryRelation").split("\nInMemoryRelation")[0]
+        want = [(x.id, x.rank, x.score, x.stages) for x in r.search(q, None, 5, mode).orderBy("rank").collect()]
+        assert [(x.id, x.rank, x.score, x.stages) for x in hits.orderBy("rank").collect()] == want and len(want) == 5
