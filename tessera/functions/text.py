@@ -61,8 +61,9 @@ def tokens(c: Column, stemmed: bool = True) -> Column:
 
 
 def stemmed_token(c: Column) -> Column:
-    """The search token of one lower-case word."""
-    return F.pandas_udf(_stem_each, "string")(c)
+    """The search token of one lower-case word. Not deterministic in name only: else the optimizer pushes a semi join with
+    tokens, and the stemming with it, below the distinct that makes the words few."""
+    return F.pandas_udf(_stem_each, "string").asNondeterministic()(c)
 
 
 def sentences(c: Column) -> Column:

@@ -95,6 +95,8 @@ def test_bm25_stems_each_distinct_word_once(spark):
     scored = retrieval.bm25(d, q)
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert "_stem_each(word" in plan
+    below = plan[plan.index("_stem_each(word") :].split("\n")[1:]
+    assert next(x for x in below if "Aggregate" in x or "Generate" in x).count("Aggregate")  # after the distinct
     ready = d.select("id", F.array_join(tokens(F.col("text")), " ").alias("text"))
     ready_q = q.select("query_id", F.array_join(tokens(F.col("text")), " ").alias("text"))
     want = {r.id: round(r.score, 12) for r in retrieval.bm25(ready, ready_q, stemmed=False).collect()}
